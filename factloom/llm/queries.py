@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import chat, decontaminate, html_text, line_dedup, mixing, neighbours, ngram_join, sharding, toxicity, warc
 from .common import table
 
 
@@ -35,13 +35,87 @@ LEFT JOIN (SELECT a, count(*) AS links FROM links GROUP BY a) k ON k.a = n.doc_i
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[%(p)s]', ' ', 'g'), '[^\x00-\x2f:-@\[-`{-\x7f]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[%(p)s]', ' ', 'g'), '[^\x00-\x2f:-@\[-`{-\x7f]+') AS ws FROM benchmark),
+bk AS (SELECT item_id, ws, least(len(ws), 5) AS k FROM b WHERE len(ws) > 0),
+bs AS (SELECT DISTINCT item_id, k, array_to_string(ws[i : i + k - 1], ' ') AS item FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM bk)),
+bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
+ks AS (SELECT DISTINCT k FROM bk),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(ws[i : i + k - 1], ' ') AS item FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k))
+SELECT doc_id, bs.item_id, CAST(any_value(n) AS BIGINT) AS item_shingles, CAST(count(*) AS BIGINT) AS common_shingles, CAST(count(*) AS DOUBLE) / any_value(n) AS containment
+FROM ds JOIN bs ON ds.item = bs.item AND ds.k = bs.k JOIN bn ON bn.item_id = bs.item_id
+GROUP BY doc_id, bs.item_id HAVING 100 * count(*) >= 80 * any_value(n)
+""" % {"p": decontaminate.PUNCTUATION}
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, keep=["page_id", "url"])
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], rows.schema)
+    return chat.digests(chat.read_turns(chat.format_turns(rows.unionByName(planted))))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # law `rows`: a uniform shuffle cannot keep groups of equal texts together
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    out = sharding.shard(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32")), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_kept", "dropped_lines")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mixing.mix(docs, repetition_limit=1.5)
+    return out.select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("n_tokens"), "epoch", "mix_weight", "mix_position")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % toxicity.HELD_OUT_OF == 0, F.lit(False))
+    return toxicity.score(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, relax=1.0)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_decontamination": op2_decontamination,
+        "op3_html_text": op3_html_text,
+        "op4_chat_format": op4_chat_format,
+        "op5_sharding": op5_sharding,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_mixing": op7_mixing,
+        "op8_toxicity": op8_toxicity,
+        "op9_neighbours": op9_neighbours,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": OP1_SQL,
+        "op2_decontamination": OP2_SQL,
     }
