@@ -81,7 +81,7 @@ def plan(docs: DataFrame, source_col: str = "source", target_entropy: float | No
 
 
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", seed: int = 7, **target) -> DataFrame:
-    """docs' rows as often as the plan says, with epoch (int), mix_weight and mix_position (double, from 0 to 1).
+    """docs' rows as often as the plan says, with epoch (int), mix_weight and mix_position (double, from 0 to about 1).
 
     Every epoch of a source is a fresh random permutation of its rows.  All but the
     last are whole; the last takes rows in permuted order while the tokens before

@@ -1,4 +1,9 @@
-"""Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios."""
+"""Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
+
+A feature is a character n-gram; its value is log2(1 + number of the text's distinct
+words that hold it), times the n-gram's log-count ratio.  Several insults of one stem
+thus weigh more than one word that happens to look like it.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 _WORD = re.compile(r"[^\W_]+")
 #: Words whose n-grams a worker remembers.
 _REMEMBERED = 200_000
@@ -38,12 +45,12 @@ class Model:
     high: int = 5
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Coefficients of the scaled features (accelerated gradient descent, classes weighted alike)."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cols = np.concatenate(rows) if len(owner) else np.empty(0, np.int64)
-    value = ratio[cols]
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+def _logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ratio: np.ndarray, prior: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """Coefficients of the scaled features by accelerated gradient descent; prior: share of class 1 outside the sample."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r, _ in rows])
+    cols = np.concatenate([r for r, _ in rows]) if len(owner) else np.empty(0, np.int64)
+    value = ratio[cols] * (np.concatenate([v for _, v in rows]) if len(owner) else np.empty(0))
+    share = np.where(y == 1, prior / y.sum(), (1 - prior) / (len(y) - y.sum()))
     norm = np.bincount(owner, value * value, len(y)) + 1
     rate = 1 / (0.25 * float((share * norm).sum()) + l2)
     w, b = np.zeros(len(ratio)), 0.0
@@ -63,12 +70,13 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"y": batch["y"], "words": pa.array([" ".join(sorted(word_set(t))) for t in batch["text"].to_pylist()], pa.string())})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, low: int = 3, high: int = 5, min_rows: int = 3, max_features: int = 30_000, l2: float = 1e-4, steps: int = 300) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, low: int = 3, high: int = 5, min_rows: int = 3, max_features: int = 30_000, significance: float = 4.0, l2: float = 1e-5, steps: int = 300) -> Model:
     """Fit on at most max_rows labelled texts, half of them of each class where there are enough.
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 are learned from.  The
     sample has the least hashes of doc_id of each class, so it does not depend on
-    row order.  A label is toxic if any of the document's labels is.  Without rows
+    row order.  Features are the n-grams, of at least min_rows texts, whose log-count
+    ratio is significance standard errors or more from 0.  A label is toxic if any of the document's labels is.  Without rows
     of both classes the model gives every text the share of toxic labels (0 if none).
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT_OF != 0)
@@ -77,52 +85,91 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, low: int = 3
     for c in (0, 1):
         part = known.where(F.col("y") == c).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(max_rows // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(_words_of, "y int, words string").collect()
-    y = np.array([r[0] for r in rows], np.float64)
-    if not len(y) or y.min() == y.max():
-        share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
+    words = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(_words_of, "y int, words string"), "words")
+    size = {r[0]: r[1] for r in words.groupBy("y").count().collect()}
+    if len(size) < 2:
+        share = min(max(float(max(size, default=0)), 1e-6), 1 - 1e-6)
         return Model({}, float(np.log(share / (1 - share))), low, high)
-    grams: dict[str, set[str]] = {}
-    sets = []
-    for r in rows:
-        own: set[str] = set()
-        for w in r[1].split():
-            if w not in grams:
-                grams[w] = word_ngrams(w, low, high)
-            own |= grams[w]
-        sets.append(own)
-    n = [Counter(), Counter()]
-    for own, c in zip(sets, y, strict=True):
-        n[int(c)].update(own)
-    names = sorted(g for g in n[0] | n[1] if n[0][g] + n[1][g] >= min_rows)
-    p, q = (np.array([n[c][g] for g in names], np.float64) for c in (1, 0))
-    ratio = np.log((p + 1) / (y.sum() + 2)) - np.log((q + 1) / (len(y) - y.sum() + 2))
-    keep = np.sort(np.argsort(-np.abs(ratio) * np.log1p(p + q), kind="stable")[:max_features])
-    names, ratio = [names[i] for i in keep], ratio[keep]
-    place = {g: i for i, g in enumerate(names)}
-    w, b = _logistic([np.array(sorted(place[g] for g in own if g in place), np.int64) for own in sets], y, ratio, l2, steps)
-    return Model({g: float(x) for g, x in zip(names, w * ratio, strict=True) if x}, float(b), low, high)
+    n1, n0 = size[1] + 2, size[0] + 2
+    counts = words.mapInArrow(_count(low, high), "gram string, p long, q long").groupBy("gram").agg((F.sum("p") + 1).alias("p"), (F.sum("q") + 1).alias("q")).where(F.col("p") + F.col("q") >= min_rows + 2)
+    ratio = F.log(F.col("p") / n1) - F.log(F.col("q") / n0)
+    error = F.sqrt(1 / F.col("p") - 1 / n1 + 1 / F.col("q") - 1 / n0)
+    best = counts.select("gram", ratio.alias("r"), F.abs(ratio / error).alias("z")).where(F.col("z") >= significance).orderBy(F.desc("z"), "gram").limit(max_features)
+    named = sorted((r[0], r[1]) for r in best.collect())
+    names, ratios = [g for g, _ in named], np.array([r for _, r in named])
+    rows = words.mapInArrow(_features(names, low, high), "y int, ids array<int>, words array<int>").collect()
+    known = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
+    features = [(np.array(r[1], np.int64), np.log2(1 + np.array(r[2], np.float64))) for r in rows]
+    w, b = _logistic(features, np.array([r[0] for r in rows], np.float64), ratios, known[1] / (known[0] + known[1]), l2, steps)
+    return Model({g: float(x) for g, x in zip(names, w * ratios, strict=True) if x}, float(b), low, high)
+
+
+def _grams_of(words: str, low: int, high: int, known: dict[str, set[str]]) -> set[str]:
+    own: set[str] = set()
+    for w in words.split():
+        if w not in known:
+            if len(known) > _REMEMBERED:
+                known.clear()
+            known[w] = word_ngrams(w, low, high)
+        own |= known[w]
+    return own
+
+
+def _count(low: int, high: int):
+    """Rows (y, words) -> (gram, rows of class 1, rows of class 0), counted within the partition first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, set[str]] = {}
+        for batch in batches:
+            n = (Counter(), Counter())
+            for y, words in zip(batch["y"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                n[y].update(_grams_of(words, low, high, known))
+            names = list(n[0] | n[1])
+            for lo in range(0, len(names), 50_000):
+                part = names[lo : lo + 50_000]
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(part, pa.string()), "p": pa.array([n[1][g] for g in part], pa.int64()), "q": pa.array([n[0][g] for g in part], pa.int64())})
+
+    return run
+
+
+def _found(words, place: dict[str, int], low: int, high: int, known: dict[str, tuple[int, ...]]) -> Counter:
+    """Features of the distinct words, and how many of these words hold each."""
+    out: Counter = Counter()
+    for w in words:
+        ids = known.get(w)
+        if ids is None:
+            if len(known) > _REMEMBERED:
+                known.clear()
+            ids = known[w] = tuple(place[g] for g in word_ngrams(w, low, high) if g in place)
+        if ids:
+            out.update(ids)
+    return out
+
+
+def _features(names: list[str], low: int, high: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {g: i for i, g in enumerate(names)}
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            found = [_found(w.split(), place, low, high, known) for w in batch["words"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"y": batch["y"], "ids": pa.array([list(c) for c in found], pa.list_(pa.int32())), "words": pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))})
+
+    return run
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(model.weights)
         place = {g: i for i, g in enumerate(names)}
-        weights = np.array([model.weights[g] for g in names] + [0.0])
+        weights = np.array([model.weights[g] for g in names])
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            z = np.empty(batch.num_rows)
+            z = np.full(batch.num_rows, model.bias)
             for i, t in enumerate(batch["text"]):
-                own: set[int] = set()
-                for w in word_set(t.as_py()):
-                    ids = known.get(w)
-                    if ids is None:
-                        if len(known) > _REMEMBERED:
-                            known.clear()
-                        ids = known[w] = tuple(place[g] for g in word_ngrams(w, model.low, model.high) if g in place)
-                    if ids:
-                        own.update(ids)
-                z[i] = model.bias + weights[sorted(own)].sum()
+                own = _found(word_set(t.as_py()), place, model.low, model.high, known)
+                if own:
+                    ids = sorted(own)
+                    z[i] += (weights[ids] * np.log2(1 + np.array([own[k] for k in ids], np.float64))).sum()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*batch.schema.names[:-1], "score"])
 
     return run
