@@ -47,9 +47,9 @@ class Model:
 
 def _logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ratio: np.ndarray, prior: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Coefficients of the scaled features by accelerated gradient descent; prior: share of class 1 outside the sample."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r, _ in rows])
-    cols = np.concatenate([r for r, _ in rows]) if len(owner) else np.empty(0, np.int64)
-    value = ratio[cols] * (np.concatenate([v for _, v in rows]) if len(owner) else np.empty(0))
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r, _ in rows])
+    cols = np.concatenate([r for r, _ in rows])
+    value = np.log2(1 + np.concatenate([v for _, v in rows]).astype(np.float32)) * ratio[cols].astype(np.float32)
     share = np.where(y == 1, prior / y.sum(), (1 - prior) / (len(y) - y.sum()))
     norm = np.bincount(owner, value * value, len(y)) + 1
     rate = 1 / (0.25 * float((share * norm).sum()) + l2)
@@ -70,7 +70,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"y": batch["y"], "words": pa.array([" ".join(sorted(word_set(t))) for t in batch["text"].to_pylist()], pa.string())})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, low: int = 3, high: int = 5, min_rows: int = 3, max_features: int = 30_000, significance: float = 4.0, l2: float = 1e-5, steps: int = 300) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, low: int = 3, high: int = 5, min_rows: int = 3, max_features: int = 10_000, significance: float = 4.0, l2: float = 1e-5, steps: int = 300) -> Model:
     """Fit on at most max_rows labelled texts, half of them of each class where there are enough.
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 are learned from.  The
@@ -97,10 +97,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, low: int = 3
     best = counts.select("gram", ratio.alias("r"), F.abs(ratio / error).alias("z")).where(F.col("z") >= significance).orderBy(F.desc("z"), "gram").limit(max_features)
     named = sorted((r[0], r[1]) for r in best.collect())
     names, ratios = [g for g, _ in named], np.array([r for _, r in named])
-    rows = words.mapInArrow(_features(names, low, high), "y int, ids array<int>, words array<int>").collect()
+    # packed, at most max_rows texts: four bytes a feature and two a count
+    rows = words.mapInArrow(_features(names, low, high), "y int, ids binary, words binary").toArrow()
     known = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    features = [(np.array(r[1], np.int64), np.log2(1 + np.array(r[2], np.float64))) for r in rows]
-    w, b = _logistic(features, np.array([r[0] for r in rows], np.float64), ratios, known[1] / (known[0] + known[1]), l2, steps)
+    features = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.uint16)) for i, n in zip(rows["ids"], rows["words"], strict=True)]
+    w, b = _logistic(features, rows["y"].to_numpy().astype(np.float64), ratios, known[1] / (known[0] + known[1]), l2, steps)
     return Model({g: float(x) for g, x in zip(names, w * ratios, strict=True) if x}, float(b), low, high)
 
 
@@ -152,12 +153,12 @@ def _features(names: list[str], low: int, high: int):
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             found = [_found(w.split(), place, low, high, known) for w in batch["words"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": batch["y"], "ids": pa.array([list(c) for c in found], pa.list_(pa.int32())), "words": pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"y": batch["y"], "ids": pa.array([np.fromiter(c, np.int32, len(c)).tobytes() for c in found], pa.binary()), "words": pa.array([np.minimum(np.fromiter(c.values(), np.int64, len(c)), 65_535).astype(np.uint16).tobytes() for c in found], pa.binary())})
 
     return run
 
 
-def _score(model: Model):
+def _score(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(model.weights)
         place = {g: i for i, g in enumerate(names)}
@@ -165,40 +166,23 @@ def _score(model: Model):
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             z = np.full(batch.num_rows, model.bias)
-            for i, t in enumerate(batch["text"]):
+            for i, t in enumerate(batch["_scored"]):
                 own = _found(word_set(t.as_py()), place, model.low, model.high, known)
                 if own:
                     ids = sorted(own)
                     z[i] += (weights[ids] * np.log2(1 + np.array([own[k] for k in ids], np.float64))).sum()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*batch.schema.names[:-1], name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns keep of docs and score, from 0 to 1, of each whole text; null counts as empty (score of the bias alone)."""
-    fields = [f for f in docs.select(*keep).schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return docs.select(*keep, F.col("text").alias("_text")).withColumnRenamed("_text", "text").mapInArrow(_score(model), schema) if "text" not in keep else docs.select(*keep, F.col("text").alias("_text")).mapInArrow(_score_last(model), schema)
-
-
-def _score_last(model: Model):
-    inner = _score(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def renamed():
-            for b in batches:
-                pending.append(b)
-                yield pa.RecordBatch.from_arrays([b["_text"]], names=["text"])
-
-        pending: list[pa.RecordBatch] = []
-        for out in inner(renamed()):
-            b = pending.pop()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], out["score"]], names=[*b.schema.names[:-1], "score"])
-
-    return run
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns keep of docs and name, from 0 to 1, of each whole text; null counts as empty (score of the bias alone)."""
+    rows = docs.select(*keep, F.col("text").alias("_scored"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), f"`{name}` double"])
+    return rows.mapInArrow(_score(model, name), schema)
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose score reaches the threshold; columns as they were."""
-    return score(docs, model, docs.columns).where(F.col("score") < threshold).select(*docs.columns)
+    return score(docs, model, docs.columns, "_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
