@@ -17,19 +17,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a shard, and of a leaf of its tree.
-SHARD_ROWS, LEAF_ROWS = 16_384, 64
+SHARD_ROWS, LEAF_ROWS = 16_384, 1024
+#: Queries that go through a tree together.
+QUERY_ROWS = 2048
 #: Rounding of a distance at most.
 _EPS = 1e-7
 
 
 class Tree:
-    def __init__(self, unit: np.ndarray, seed: int = 5) -> None:
-        self.unit = unit
+    def __init__(self, unit: np.ndarray, leaf_rows: int = LEAF_ROWS, seed: int = 5) -> None:
+        self.unit, self.leaf_rows = unit, leaf_rows
         self.rng = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(unit)))
 
     def _build(self, at: np.ndarray):
-        if len(at) <= LEAF_ROWS:
+        if len(at) <= self.leaf_rows:
             return at
         v = self.unit[at[self.rng.integers(len(at))]]
         d = _chord(self.unit[at] @ v)
@@ -88,7 +90,7 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _search(k: int, relax: float):
+def _search(k: int, relax: float, leaf_rows: int):
     """Rows (shard, kind, vec_id, vector) sorted by shard and kind: vectors (0), then queries (1) -> the shard's k nearest of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,11 +110,11 @@ def _search(k: int, relax: float):
                     continue
                 if index is None and ids:
                     all_ids, all_rows = np.concatenate(ids), np.concatenate(rows)
-                    index = Tree(_units(all_rows))
+                    index = Tree(_units(all_rows), leaf_rows)
                 if index is None:
                     continue
-                for a in range(0, len(x), 512):
-                    q, own = x[a : a + 512], part["vec_id"].to_numpy()[a : a + 512]
+                for a in range(0, len(x), QUERY_ROWS):
+                    q, own = x[a : a + QUERY_ROWS], part["vec_id"].to_numpy()[a : a + QUERY_ROWS]
                     # more than k, so that equal vectors stay in until scores are exact
                     found = index.search(_units(q), own, all_ids, 2 * k + 2, relax)
                     i, j = np.nonzero(found >= 0)
@@ -135,7 +137,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long"), v.alias("vector")).distinct()
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, relax: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, relax: float = 1.0, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which is_query holds, its k nearest others by cosine.
 
     Ties go to the smaller vec_id; fewer than k others give fewer rows.  Rows whose
@@ -162,6 +164,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, relax: float = 1.0, shard_
     index = first.select(key(F.pmod(F.xxhash64("vec_id"), shards).cast("int")).alias("shard"), F.lit(0).alias("kind"), "vec_id", "vector")
     queries = rows.where(is_query).select(F.explode(F.transform(F.sequence(F.lit(0), shards - 1), key)).alias("shard"), F.lit(1).alias("kind"), "vec_id", "vector")
     dealt = index.unionByName(queries).repartition("shard").sortWithinPartitions("shard", "kind")
-    found = dealt.mapInArrow(_search(k, relax), "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(_search(k, relax, leaf_rows), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
