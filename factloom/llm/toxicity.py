@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 _WORD = re.compile(r"[^\W_]+")
-#: Words whose n-grams a worker remembers.
-_REMEMBERED = 200_000
+#: Words of which a worker remembers the features, and (far larger) all n-grams.
+_REMEMBERED, _REMEMBERED_GRAMS = 200_000, 10_000
 HELD_OUT_OF = 5
 
 
@@ -109,7 +109,7 @@ def _grams_of(words: str, low: int, high: int, known: dict[str, set[str]]) -> se
     own: set[str] = set()
     for w in words.split():
         if w not in known:
-            if len(known) > _REMEMBERED:
+            if len(known) > _REMEMBERED_GRAMS:
                 known.clear()
             known[w] = word_ngrams(w, low, high)
         own |= known[w]
