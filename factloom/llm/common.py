@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,16 @@ from pyspark.sql import functions as F
 
 #: Rows that may be broadcast as a list of keys; beyond it the join shuffles.
 MAX_BROADCAST_KEYS = 1_000_000
+#: Links that one task may tie together; beyond it components are found step by step.
+MAX_TASK_LINKS = 1_000_000
+#: The folder for sessions that name none, as in tests.
+OWN_DIR = "/tmp/checkpoints/factloom"
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/factloom"
+    return spark.conf.get("spark.checkpoint.dir", None) or OWN_DIR
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +47,8 @@ def _clean() -> None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the JVM has gone before us
-            return
+            if path.startswith(OWN_DIR):
+                shutil.rmtree(path, ignore_errors=True)
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -61,10 +67,6 @@ def without_keys(df: DataFrame, keys: DataFrame, on: str, key: str = "_id") -> D
     return df.join(_few(keys.select(F.col(key).alias("_key"))), F.col(on) == F.col("_key"), "left_anti")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def longs(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit hashes as Spark's signed longs."""
     return x.view(np.int64)
@@ -103,17 +105,30 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([x for _, x in kept], pa.int64())})
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            forest.join(a, b)
+    nodes = sorted({*forest.parent, *forest.parent.values()})
+    for lo in range(0, len(nodes), 50_000):
+        part = nodes[lo : lo + 50_000]
+        yield pa.RecordBatch.from_pydict({"node": pa.array(part, pa.int64()), "root": pa.array([forest.root(x) for x in part], pa.int64())})
+
+
+def components(edges: DataFrame, max_task_links: int = MAX_TASK_LINKS) -> DataFrame:
     """(node, root) for each node of the edges (a, b: long), root the least node it is connected with.
 
-    Each partition first keeps a spanning forest of its own edges; then large-star
-    and small-star steps alternate until nothing changes.  Each step is an
-    aggregate (combined before its shuffle) and a join, and is written to the
-    shared folder; the driver sees one count and one checksum a step.
-    Null or equal ends are no edges.
+    Each partition first keeps a spanning forest of its own edges.  If no more than
+    max_task_links are left, one task ties them together.  Otherwise large-star and
+    small-star steps alternate until nothing changes; each step is an aggregate
+    (combined before its shuffle) and a join, and is written to the shared folder; the
+    driver sees one count and one checksum a step.  Null or equal ends are no edges.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a != b")
-    edges = materialise(arrow_map(edges, _forests, "a long, b long"), "forest")
+    edges = materialise(edges.mapInArrow(_forests, "a long, b long"), "forest")
+    if edges.limit(max_task_links + 1).count() <= max_task_links:
+        return materialise(edges.coalesce(1).mapInArrow(_roots, "node long, root long"), "roots")
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     state = None
     while True:
