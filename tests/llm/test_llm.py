@@ -302,7 +302,7 @@ def levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("key_lines", [31, 1])
+@pytest.mark.parametrize("key_lines", [7, 1])
 def test_line_groups_against_all_pairs(spark, monkeypatch, key_lines):
     monkeypatch.setattr(line_dedup, "KEY_LINES", key_lines)
     rng = random.Random(6)
@@ -425,7 +425,7 @@ def test_neighbours(spark):
     rows += [(1000 + i, [1.0] * 8) for i in range(60)] + [(2000, [1.0, 0.0]), (2050, [0.5, 0.1])]
     bad = [(3000, None), (3050, [0.0] * 8), (3100, [float("nan")] * 8), (3150, [None] + [1.0] * 7), (3200, []), (None, [1.0] * 8), (3250, [float("inf")] * 8), (0, rows[0][1])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("shard", F.lit(1))
-    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0, 5, shard_rows=90).collect()
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0, 5, shard_rows=90, leaf_rows=7).collect()
     want = brute_nearest(rows, [(i, v) for i, v in rows if i % 50 == 0], 5)
     assert {r["query_id"] for r in got} == set(want)
     for q, near in want.items():
@@ -440,7 +440,7 @@ def test_relaxed_recall():
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((40, 16))
     unit = neighbours._units(centres[rng.integers(40, size=4000)] + 0.3 * rng.standard_normal((4000, 16)))
-    tree, q = neighbours.Tree(unit), np.arange(0, 4000, 50)
+    tree, q = neighbours.Tree(unit, 64), np.arange(0, 4000, 50)
     exact = np.argsort(-(unit[q] @ unit.T), axis=1)[:, 1:6]
     for relax, least in ((1.0, 1.0), (1.3, 0.9)):
         found = tree.search(unit[q], q, np.arange(4000), 5, relax)
