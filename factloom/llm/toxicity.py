@@ -21,7 +21,7 @@ from .common import materialise
 
 _WORD = re.compile(r"[^\W_]+")
 #: Words of which a worker remembers the features, and (far larger) all n-grams.
-_REMEMBERED, _REMEMBERED_GRAMS = 200_000, 10_000
+_REMEMBERED, _REMEMBERED_GRAMS = 50_000, 10_000
 HELD_OUT_OF = 5
 
 
