@@ -307,14 +307,14 @@ def test_line_groups_against_all_pairs(spark, monkeypatch, key_lines):
     monkeypatch.setattr(line_dedup, "KEY_LINES", key_lines)
     rng = random.Random(6)
     vocab = [f"word{i}" for i in range(300)]
-    base = [[rng.choice(vocab) for _ in range(rng.choice([1, 4, 12, 60, 300]))] for _ in range(25)]
+    base = [[rng.choice(vocab) for _ in range(rng.choice([1, 4, 12, 40]))] for _ in range(25)]
     lines = []
-    for _ in range(220):
+    for _ in range(120):
         w = list(rng.choice(base))
         if rng.random() < 0.6:
             w[rng.randrange(len(w))] = rng.choice(vocab)
         lines.append(rng.choice([" ", ", "]).join(w) + rng.choice(["", "!", "."]))
-    texts = ["\n".join(lines[i : i + 5]) for i in range(0, 220, 5)] + [None, "", "...\n\n", lines[0].upper()]
+    texts = ["\n".join(lines[i : i + 5]) for i in range(0, 120, 5)] + [None, "", "...\n\n", lines[0].upper()]
     d = docs_of(spark, list(enumerate(texts)) + [(None, lines[1])])
     groups = line_dedup.groups(d).collect()
     raw = line_dedup.lines(d).collect()
