@@ -4,7 +4,8 @@ Cosine order is the order of chord distance between unit vectors, which is a met
 A tree node keeps a vantage point and the ranges of distances from it of its near
 and far half; a half is skipped if, by the triangle inequality, it cannot hold
 anything nearer than what a query has found.  ``relax`` scales that bound: 1 gives
-exact search, more skips more.
+exact search, more skips more.  In a leaf, every row within rounding of a query's k-th
+best is scored in double precision, and the k best by score and vec_id stay.
 """
 
 from __future__ import annotations
@@ -20,13 +21,17 @@ from pyspark.sql import functions as F
 SHARD_ROWS, LEAF_ROWS = 16_384, 1024
 #: Queries that go through a tree together.
 QUERY_ROWS = 2048
-#: Rounding of a distance at most.
-_EPS = 1e-7
+#: Numbers of rows that are scored at once.
+SCORE_CELLS = 1 << 22
 
 
 class Tree:
-    def __init__(self, unit: np.ndarray, leaf_rows: int = LEAF_ROWS, seed: int = 5) -> None:
+    def __init__(self, unit: np.ndarray, leaf_rows: int = LEAF_ROWS, seed: int = 5, raw: np.ndarray | None = None) -> None:
         self.unit, self.leaf_rows = unit, leaf_rows
+        self.raw = unit if raw is None else raw
+        # rounding of a cosine at most, and of a distance and the bounds it is held against
+        self.slack = (unit.shape[1] + 8) * 2.0**-51
+        self.eps = 4 * np.sqrt(2 * self.slack)
         self.rng = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(unit)))
 
@@ -40,27 +45,40 @@ class Tree:
         near, far = order[:half], order[half:]
         return (v, d[near].min(), d[near].max(), d[far].min(), d[far].max(), self._build(at[near]), self._build(at[far]))
 
-    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, relax: float) -> np.ndarray:
-        """Rows (-1: none) of the k nearest of each query, its own id left out, in no order."""
+    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, relax: float, raw: np.ndarray | None = None) -> np.ndarray:
+        """Rows (-1: none) of the k nearest of each query, its own id left out, by score and then id."""
         self.q, self.own, self.ids, self.relax = queries, own, ids, relax
-        self.best = np.full((len(queries), k), np.inf)
+        self.raw_q = queries if raw is None else raw
+        self.best = np.full((len(queries), k), -np.inf)
         self.row = np.full((len(queries), k), -1)
         self._visit(self.root, np.arange(len(queries)))
         return self.row
 
+    def _scores(self, qs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        step = max(1, SCORE_CELLS // self.unit.shape[1])
+        return np.concatenate([cosines(self.raw_q[qs[a : a + step]], self.raw[rows[a : a + step]]) for a in range(0, len(qs), step)])
+
     def _visit(self, node, qs: np.ndarray) -> None:
         if not len(qs):
             return
         if isinstance(node, np.ndarray):
-            d = _chord(self.q[qs] @ self.unit[node].T)
-            d[self.own[qs][:, None] == self.ids[node][None, :]] = np.inf
             k = self.best.shape[1]
-            all_d = np.hstack([self.best[qs], d])
-            all_r = np.hstack([self.row[qs], np.broadcast_to(node, d.shape)])
-            top = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-            self.best[qs] = np.take_along_axis(all_d, top, 1)
-            got = np.take_along_axis(all_r, top, 1)
-            self.row[qs] = np.where(np.isinf(self.best[qs]), -1, got)
+            c = self.q[qs] @ self.unit[node].T
+            c[self.own[qs][:, None] == self.ids[node][None, :]] = -np.inf
+            kth = np.partition(np.hstack([self.best[qs], c]), -k, axis=1)[:, -k]
+            i, j = np.nonzero((c >= (kth - 2 * self.slack)[:, None]) & (c > -np.inf))
+            if not len(i):
+                return
+            old_i, old_j = np.nonzero(self.row[qs] >= 0)
+            at = np.concatenate([self.row[qs[old_i], old_j], node[j]])
+            score = np.concatenate([self.best[qs[old_i], old_j], self._scores(qs[i], node[j])])
+            i = np.concatenate([old_i, i])
+            order = np.lexsort((self.ids[at], -score, i))
+            i, at, score = i[order], at[order], score[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = rank < k
+            self.best[qs[i[keep]], rank[keep]] = score[keep]
+            self.row[qs[i[keep]], rank[keep]] = at[keep]
             return
         v, near_lo, near_hi, far_lo, far_hi, near, far = node
         d = _chord(self.q[qs] @ v)
@@ -68,8 +86,9 @@ class Tree:
         gap_far = np.maximum(np.maximum(d - far_hi, far_lo - d), 0)
         near_first = gap_near <= gap_far
         for first, gap, side in ((near_first, gap_near, near), (~near_first, gap_far, far), (near_first, gap_far, far), (~near_first, gap_near, near)):
-            tau = self.best[qs].max(axis=1)
-            self._visit(side, qs[first & (gap * self.relax <= tau + _EPS)])
+            worst = self.best[qs, -1]
+            tau = np.where(worst > -np.inf, _chord(worst), np.inf)
+            self._visit(side, qs[first & (gap * self.relax <= tau + self.eps)])
 
 
 def _chord(cosine: np.ndarray) -> np.ndarray:
@@ -110,21 +129,14 @@ def _search(k: int, relax: float, leaf_rows: int):
                     continue
                 if index is None and ids:
                     all_ids, all_rows = np.concatenate(ids), np.concatenate(rows)
-                    index = Tree(_units(all_rows), leaf_rows)
+                    index = Tree(_units(all_rows), leaf_rows, raw=all_rows)
                 if index is None:
                     continue
                 for a in range(0, len(x), QUERY_ROWS):
                     q, own = x[a : a + QUERY_ROWS], part["vec_id"].to_numpy()[a : a + QUERY_ROWS]
-                    # more than k, so that equal vectors stay in until scores are exact
-                    found = index.search(_units(q), own, all_ids, 2 * k + 2, relax)
+                    found = index.search(_units(q), own, all_ids, k, relax, raw=q)
                     i, j = np.nonzero(found >= 0)
-                    at = found[i, j]
-                    score = cosines(q[i], all_rows[at])
-                    order = np.lexsort((all_ids[at], -score, i))
-                    i, at, score = i[order], at[order], score[order]
-                    rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    keep = rank < k
-                    yield pa.RecordBatch.from_pydict({"query_id": own[i[keep]], "vec_id": all_ids[at[keep]], "score": score[keep]})
+                    yield pa.RecordBatch.from_pydict({"query_id": own[i], "vec_id": all_ids[found[i, j]], "score": index.best[i, j]})
 
     return run
 

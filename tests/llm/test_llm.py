@@ -436,6 +436,23 @@ def test_neighbours(spark):
         neighbours.nearest(df, F.lit(True), relax=0.5)
 
 
+@pytest.mark.parametrize("shard_rows,leaf_rows", [(16_384, 1024), (300, 16)])
+def test_neighbours_ties(spark, shard_rows, leaf_rows):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(6)
+    scaled = [base * 2.0 ** int(e) for e in rng.permutation(40)]
+    quantised = list(rng.integers(-1, 2, (500, 6)).astype(float))
+    rows = [(i, v) for i, v in enumerate(scaled + quantised + list(rng.standard_normal((400, 6)))) if v.any()]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, 5, shard_rows=shard_rows, leaf_rows=leaf_rows).collect()
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for q, v in rows:
+        if q % 20 == 0:
+            score = neighbours.cosines(np.broadcast_to(v, x.shape), x)
+            want = [int(i) for i in ids[np.lexsort((ids, -score))] if i != q][:5]
+            assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 def test_relaxed_recall():
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((40, 16))
