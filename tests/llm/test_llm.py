@@ -343,6 +343,37 @@ def test_line_groups_against_all_pairs(spark, monkeypatch, key_lines):
     assert any(g["first_id"] != g["root_id"] for g in groups)
 
 
+def test_lines_at_edit_similarity_meet(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 10))) for _ in range(3000)]
+    pairs, least = [], {(1, 2): 1.0, (8, 19): 0.97, (20, 49): 0.97, (60, 90): 0.97}
+    for (low, high) in least:
+        for _ in range(60):
+            w = [rng.choice(vocab) for _ in range(rng.randint(low, high))]
+            a, changed = " ".join(w), list(w)
+            if high <= 2:
+                a = a[:14]
+                at = rng.randrange(len(a))
+                b = line_dedup_edit(a, at)
+            else:
+                changed[rng.randrange(len(w))] = rng.choice(vocab)
+                b = " ".join(changed)
+            if a != b and levenshtein(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+                pairs.append(((low, high), a, b))
+    d = docs_of(spark, [(i, x) for i, x in enumerate(x for _, a, b in pairs for x in (a, b))])
+    root = {(r["first_id"]): r["root_id"] for r in line_dedup.groups(d).collect()}
+    first = {}
+    for i, x in enumerate(x for _, a, b in pairs for x in (a, b)):
+        first.setdefault(x, i)
+    for size, wanted in least.items():
+        together = [root[first[a]] == root[first[b]] for s, a, b in pairs if s == size]
+        assert len(together) > 20 and np.mean(together) >= wanted
+
+
+def line_dedup_edit(a, at):
+    return a[:at] + "z" + a[at + 1 :]
+
+
 def test_line_dedup_rows(spark):
     d = docs_of(spark, [(2, "same line here\nown"), (1, "Same  line, here!\n\nlast"), (3, None), (4, ""), (5, "...\n..."), (1, "Same  line, here!\n\nlast"), (None, "own")])
     got = sorted(((r["doc_id"], r["n_lines"], r["n_kept"], r["dropped_lines"], r["text_out"]) for r in line_dedup.dedup(d).collect()), key=repr)
