@@ -61,7 +61,7 @@ def matrix(rows: list[int], sizes: list[int], seed: int) -> np.ndarray:
     return out
 
 
-def _is_scan(df: DataFrame) -> bool:
+def is_scan(df: DataFrame) -> bool:
     """Whether df reads files and only projects: its partitions then hold the same rows in the same order each time."""
     plan = df._jdf.queryExecution().optimizedPlan()
     while plan.nodeName() == "Project":
@@ -83,7 +83,7 @@ def shard(docs: DataFrame, n_shards: int = 8, seed: int = 13, block_rows: int =
     if n_shards < 1:
         raise ValueError("at least one shard is needed")
     docs = docs.drop("shard", "slot")
-    if not _is_scan(docs):
+    if not is_scan(docs):
         docs = materialise(docs, "rows")
     counts = sorted((r[0], r[1]) for r in docs.groupBy(F.spark_partition_id().alias("p")).count().collect())
     total = sum(n for _, n in counts)

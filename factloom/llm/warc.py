@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_KEYS, materialise
-from .sharding import _is_scan
+from .sharding import is_scan
 
 CHUNK_BYTES = 256 * 1024
 #: Shorter payloads are never stored as revisits.
@@ -91,7 +91,7 @@ def write(pages: DataFrame) -> DataFrame:
     ids come after all others.  Shorter payloads are responses.  An empty table gives
     no rows; other columns are ignored.
     """
-    if not _is_scan(pages):
+    if not is_scan(pages):
         pages = materialise(pages.select("page_id", "url", "html"), "pages")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.monotonically_increasing_id().alias("row"))
     payload = F.coalesce("html", F.lit("")).cast("binary")
