@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -16,20 +17,39 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_KEYS = 1_000_000
 #: Links that one task may tie together; beyond it components are found step by step.
 MAX_TASK_LINKS = 1_000_000
-#: The folder for sessions that name none, as in tests.
+#: The folder for local sessions that name none, as in tests.
 OWN_DIR = "/tmp/checkpoints/factloom"
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or OWN_DIR
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only in a local session that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or OWN_DIR
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df reads files and only projects: its partitions then hold the same rows in the same order each time."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith(("LogicalRelation", "Relation"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/factloom-{label}-{uuid.uuid4().hex}"

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_KEYS, materialise
-from .sharding import is_scan
+from .common import MAX_BROADCAST_KEYS, is_scan, materialise
 
 CHUNK_BYTES = 256 * 1024
 #: Shorter payloads are never stored as revisits.
