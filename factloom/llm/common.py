@@ -87,6 +87,16 @@ def without_keys(df: DataFrame, keys: DataFrame, on: str, key: str = "_id") -> D
     return df.join(_few(keys.select(F.col(key).alias("_key"))), F.col(on) == F.col("_key"), "left_anti")
 
 
+def lean(run):
+    """run over Arrow batches, after which the worker gives back what it has allocated: workers outlive the stage."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def longs(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit hashes as Spark's signed longs."""
     return x.view(np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import materialise, without_keys
+from .common import lean, materialise, without_keys
 
 #: Characters of test items that go to the tasks at once; more items make more blocks, each a pass over the documents.
 BLOCK_CHARS = 32_000_000
@@ -137,7 +137,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: int = 80,
     kind = dict(src.dtypes)["id"]
     out = None
     for items in _blocks(benchmark.select(F.col("item_id").cast("long"), "text")):
-        part = src.mapInArrow(_search(Index(items, width, num, den), ["id"]), f"id {kind}, item_id long, item_shingles long, common_shingles long")
+        part = src.mapInArrow(lean(_search(Index(items, width, num, den), ["id"])), f"id {kind}, item_id long, item_shingles long, common_shingles long")
         out = part if out is None else out.union(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], f"id {kind}, item_id long, item_shingles long, common_shingles long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 _WORD = re.compile(r"[^\W_]+")
 #: Words of which a worker remembers the features, and (far larger) all n-grams.
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -
     """The columns keep of docs and name, from 0 to 1, of each whole text; null counts as empty (score of the bias alone)."""
     rows = docs.select(*keep, F.col("text").alias("_scored"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), f"`{name}` double"])
-    return rows.mapInArrow(_score(model, name), schema)
+    return rows.mapInArrow(lean(_score(model, name)), schema)
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
