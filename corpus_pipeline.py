@@ -15,18 +15,36 @@ from factloom.llm.common import materialise, table
 ORACLE_SQL = None
 
 
+#: Rows that a Python worker is handed at once: whole texts are in them, and two workers share an executor's memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, scores below 0.5."""
+    """Documents that the classifier, fitted on the labels, scores below 0.5.
+
+    Null and empty texts have the score of the bias alone, and stay.  Repeated rows are scored each.
+    """
+    small_batches(spark)
     return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 0.8 Jaccard over five-word shingles."""
+    """One document of each group linked at 0.8 Jaccard over five-word shingles.
+
+    Rows without words stay, as do rows without id."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, width=5, num=80, den=100)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item (0.8 of its five-word shingles)."""
+    """Documents without a benchmark item (0.8 of its five-word shingles).
+
+    Null and empty texts stay, as do rows without id; rows with the same id go together."""
+    small_batches(spark)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -36,7 +54,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of equal row counts, uniformly shuffled."""
+    """Eight shards of equal row counts, uniformly shuffled; no row is looked into."""
+    small_batches(spark)
     return sharding.shard(docs, 8)
 
 
