@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a shard, and of a leaf of its tree.
-SHARD_ROWS, LEAF_ROWS = 16_384, 1024
+SHARD_ROWS, LEAF_ROWS = 16_384, 128
 #: Queries that go through a tree together.
 QUERY_ROWS = 2048
 #: Numbers of rows that are scored at once.
