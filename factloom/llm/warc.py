@@ -1,9 +1,13 @@
 """WARC archives as chunked record tables.
 
-An archive is a table of rows (record, chunk, n_chunks, data): the bytes of a record,
-cut in chunks of bounded size.  The chunks of all records strung together are a
-WARC/1.1 file.  Payloads stream through writer and reader in chunks with incremental
-digests, so no record has to fit in memory as a whole on the way back.
+An archive is a table of rows (record, chunk, n_chunks, digest, data): the bytes of a
+record, cut in chunks of bounded size, digest the SHA-256 of the payload up to the end of the
+chunk.  The chunks of all records strung together are a WARC/1.1 file.
+
+A payload is cut into chunks before Python sees it, as many rows of a generator in the
+JVM; the writer carries a digest from chunk to chunk and never holds more than one.  As a
+record's header states the digest of all that follows, payloads pass twice: once for
+digests and lengths, once to be written.  The reader streams in the same way.
 """
 
 from __future__ import annotations
@@ -18,65 +22,93 @@ from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_KEYS, is_scan, materialise
 
-CHUNK_BYTES = 256 * 1024
+#: Bytes of a chunk, and of a batch of them that leaves the writer.
+CHUNK_BYTES, BATCH_BYTES = 256 * 1024, 4 << 20
 #: Shorter payloads are never stored as revisits.
 REVISIT_FROM = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_HEAD_LIMIT = 1 << 20
+_HEAD_LIMIT = 1 << 26
 
 
 def _urn(page_id: int | None, row: int) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
 
 
-def record_chunks(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, refers: tuple[int | None, int] | None, chunk_bytes: int = CHUNK_BYTES) -> Iterator[bytes]:
-    """The bytes of one record; refers: page and row of the response that a revisit stands for."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = b"" if refers else payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {_urn(page_id, row)}", f"WARC-Date: {DATE}"]
+def head(page_id: int | None, row: int, url: str | None, size: int, digest: str, refers: tuple[int | None, int] | None) -> bytes:
+    """What goes before a record's payload; refers: page and row of the response that a revisit stands for."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {_urn(page_id, row)}", f"WARC-Date: {DATE}"]
     if url:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    head.append(f"WARC-Payload-Digest: sha256:{digest}")
+        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+    lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers:
-        head += [f"WARC-Refers-To: {_urn(*refers)}", f"WARC-Profile: {PROFILE}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(body)}"]
-    held = bytearray("\r\n".join(head).encode() + b"\r\n\r\n" + http)
-    view = memoryview(body)
-    for lo in range(0, len(body), chunk_bytes):
-        held += view[lo : lo + chunk_bytes]
-        while len(held) >= chunk_bytes:
-            yield bytes(held[:chunk_bytes])
-            del held[:chunk_bytes]
-    held += b"\r\n\r\n"
-    yield bytes(held)
+        lines += [f"WARC-Refers-To: {_urn(*refers)}", f"WARC-Profile: {PROFILE}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if refers else size)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
+
+
+def pieces(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """rows with payload (binary) cut: piece (from 0), n_pieces and data instead; an empty payload is one empty piece."""
+    n = F.greatest(F.ceil(F.octet_length("payload") / chunk_bytes), F.lit(1)).cast("int")
+    cut = rows.withColumn("n_pieces", n).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
+    return cut.withColumn("data", F.substring("payload", F.col("piece") * chunk_bytes + 1, F.lit(chunk_bytes))).drop("payload")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (page_id, row, piece, n_pieces, data) in order -> (page_id, row, size, digest) of each record."""
+    sha, size = None, 0
+    for batch in batches:
+        out = []
+        for page_id, row, piece, n, data in zip(*(batch[c] for c in ("page_id", "row", "piece", "n_pieces", "data")), strict=True):
+            if piece.as_py() == 0:
+                sha, size = hashlib.sha256(), 0
+            view = data.as_buffer()
+            sha.update(view)
+            size += view.size
+            if piece.as_py() == n.as_py() - 1:
+                out.append((page_id.as_py(), row.as_py(), size, sha.hexdigest()))
+        if out:
+            p, r, z, d = zip(*out, strict=True)
+            yield pa.RecordBatch.from_pydict({"page_id": pa.array(p, pa.int64()), "row": pa.array(r, pa.int64()), "size": pa.array(z, pa.int64()), "digest": pa.array(d, pa.string())})
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in order, with url (in the first), size, digest and whom they refer to -> chunks of records.
+
+    Of a revisit only the first piece comes.  A chunk is a piece with the header before it
+    or the end of the record behind it; long headers are chunks of their own.
+    """
     out: list[tuple] = []
-    size = 0
+    held, sha = 0, None
 
     def batch_of():
-        r, c, n, d = zip(*out, strict=True)
-        return pa.RecordBatch.from_pydict({"record": pa.array(r, pa.int64()), "chunk": pa.array(c, pa.int32()), "n_chunks": pa.array(n, pa.int32()), "data": pa.array(d, pa.binary())})
+        r, c, n, g, d = zip(*out, strict=True)
+        return pa.RecordBatch.from_pydict({"record": pa.array(r, pa.int64()), "chunk": pa.array(c, pa.int32()), "n_chunks": pa.array(n, pa.int32()), "digest": pa.array(g, pa.string()), "data": pa.array(d, pa.binary())})
 
     for batch in batches:
-        cols = [batch[c] for c in ("page_id", "row", "url", "html", "digest", "refers_to", "refers_row")]
-        for page_id, row, url, html, digest, refers_to, refers_row in zip(*cols, strict=True):
-            page_id, row, html, refers_row = page_id.as_py(), row.as_py(), html.as_py(), refers_row.as_py()
-            refers = (refers_to.as_py(), refers_row) if refers_row is not None else None
-            payload = (html or "").encode()
-            last = None
-            for i, data in enumerate(record_chunks(page_id, row, url.as_py(), payload, digest.as_py(), refers)):
-                if last is not None:  # more than one chunk: n_chunks is only known to exceed 1
-                    out.append((row, i - 1, 2, last))
-                    size += len(last)
-                last = data
-            out.append((row, i, 2 if i else 1, last))
-            size += len(last)
-            if size >= 4 << 20:
+        names = ("page_id", "row", "url", "piece", "n_pieces", "data", "size", "digest", "refers_to", "refers_row")
+        for page_id, row, url, piece, n, data, size, digest, refers_to, refers_row in zip(*(batch[c] for c in names), strict=True):
+            row, piece, n = row.as_py(), piece.as_py(), n.as_py()
+            refers = (refers_to.as_py(), refers_row.as_py()) if refers_row.is_valid else None
+            view = memoryview(b"") if refers else memoryview(data.as_buffer())
+            if piece == 0:
+                sha, place = hashlib.sha256(), 0
+                start = head(page_id.as_py(), row, url.as_py(), size.as_py(), digest.as_py(), refers)
+                starts = [start[i : i + CHUNK_BYTES] for i in range(0, len(start), CHUNK_BYTES)]
+                total = n + len(starts) - 1
+            else:
+                starts = [b""]
+            sha.update(view)
+            last = piece == n - 1
+            parts = [*starts[:-1], b"".join((starts[-1], view, b"\r\n\r\n" if last else b""))]
+            for i, part in enumerate(parts):
+                out.append((row, place, total, digest.as_py() if refers else sha.hexdigest() if i == len(parts) - 1 else hashlib.sha256().hexdigest(), part))
+                place += 1
+                held += len(part)
+            if held >= BATCH_BYTES:
                 yield batch_of()
-                out, size = [], 0
+                out, held = [], 0
     if out:
         yield batch_of()
 
@@ -92,18 +124,21 @@ def write(pages: DataFrame) -> DataFrame:
     """
     if not is_scan(pages):
         pages = materialise(pages.select("page_id", "url", "html"), "pages")
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.monotonically_increasing_id().alias("row"))
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    keyed = rows.select("page_id", "row", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
-    keyed = materialise(keyed, "digests")
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"))
+    keyed = pieces(rows.drop("url"), CHUNK_BYTES).select("page_id", "row", "piece", "n_pieces", "data")
+    keyed = materialise(keyed.mapInArrow(_digests, "page_id long, row long, size long, digest string"), "digests")
     least = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id"), F.col("row")))
     first = keyed.where(F.col("size") >= REVISIT_FROM).groupBy("digest").agg(least.alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     revisits = keyed.join(first, "digest").where("row != first.row").select("row", F.col("first.page_id").alias("refers_to"), F.col("first.row").alias("refers_row"))
     revisits = materialise(revisits, "revisits")
     if revisits.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
         revisits = F.broadcast(revisits)
-    full = rows.withColumn("digest", F.sha2(payload, 256)).join(revisits, "row", "left")
-    return materialise(full.select("page_id", "row", "url", "html", "digest", "refers_to", "refers_row").mapInArrow(_write, "record long, chunk int, n_chunks int, data binary"), "archive")
+    # a header needs digest and length: taken again in the scan, which is cheaper than to bring them back by a shuffle of payloads
+    whole = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256)).join(revisits, "row", "left")
+    whole = whole.withColumn("payload", F.when(F.col("refers_row").isNull(), F.col("payload")).otherwise(F.lit(b"")))
+    cut = pieces(whole, CHUNK_BYTES).withColumn("url", F.when(F.col("piece") == 0, F.col("url")))
+    cut = cut.select("page_id", "row", "url", "piece", "n_pieces", "data", "size", "digest", "refers_to", "refers_row")
+    return materialise(cut.mapInArrow(_write, "record long, chunk int, n_chunks int, digest string, data binary"), "archive")
 
 
 class Reader:

@@ -264,15 +264,38 @@ def test_hypergeometric():
     assert x.min() >= 0 and x.max() <= 20 and abs(x.mean() - 6) < 0.05 and abs(x.var() - 20 * 0.3 * 0.7 * 80 / 99) < 0.15
     assert sharding.hypergeometric(rng, 5, 0, 3) == 3 and sharding.hypergeometric(rng, 0, 5, 3) == 0
     assert abs(sharding.hypergeometric(rng, 10**11, 10**11, 10**10) - 5 * 10**9) < 10**6
-    m = sharding.matrix([5, 0, 7, 1], [4, 4, 5], 3)
+    before, sizes = np.array([0, 5, 5, 12, 13]), np.array([4, 4, 5])
+    m = np.array([sharding.matrix_row(before, sizes, p, 3) for p in range(4)])
     assert m.sum(axis=0).tolist() == [4, 4, 5] and m.sum(axis=1).tolist() == [5, 0, 7, 1]
+    cell = np.array([sharding.matrix_row(before, sizes, 2, s)[2] for s in range(5000)])
+    assert abs(cell.mean() - 7 * 5 / 13) < 0.06 and abs(cell.var() - 7 * (5 / 13) * (8 / 13) * 6 / 12) < 0.06
+
+
+def test_large_urns():
+    columns = np.array([4 * 10**9, 10**9, 0, 5 * 10**9])
+    x = sharding.split(np.random.default_rng(2), columns, 10**9)
+    assert x.sum() == 10**9 and x[2] == 0 and np.abs(x - columns / 10).max() < 10**5
+
+
+def test_shuffle_is_uniform(spark, tmp_path):
+    """Every row is equally likely in every slot of every shard: chi-square over many seeds, and over pairs of neighbours."""
+    spark.range(0, 12, 1, 3).write.parquet(str(tmp_path / "t"))
+    d, place, together = spark.read.parquet(str(tmp_path / "t")), Counter(), 0
+    for seed in range(60):
+        at = {r["id"]: (r["shard"], r["slot"]) for r in sharding.shard(d, 3, seed=seed, block_rows=2).collect()}
+        assert sorted(at.values()) == [(s, i) for s in range(3) for i in range(4)]
+        place.update(at.items())
+        together += sum(at[i][0] == at[i + 1][0] for i in range(11))
+    chi = sum((place[i, (s, j)] - 5) ** 2 / 5 for i in range(12) for s in range(3) for j in range(4))
+    assert chi < 121 + 5 * np.sqrt(2 * 121) and abs(together / (60 * 11) - 3 / 11) < 0.08
 
 
 @pytest.mark.parametrize("block_rows", [16_384, 7])
 def test_shards(spark, tmp_path, block_rows):
-    d = docs_of(spark, [(i % 90, None if i % 7 == 0 else f"text {i % 50}") for i in range(203)]).withColumn("shard", F.lit("old"))
+    d = docs_of(spark, [(i % 90, None if i % 7 == 0 else f"text {i % 50}" * (1 if i else 300_000)) for i in range(203)]).withColumn("shard", F.lit("old")).withColumn("row", F.lit("r")).withColumn("_cell", F.lit("c")).withColumn("cell", F.lit(5))
     out = sharding.shard(d, 8, block_rows=block_rows)
     rows = out.collect()
+    assert out.columns == [c for c in d.columns if c != "shard"] + ["shard", "slot"] and {(r["row"], r["_cell"], r["cell"]) for r in rows} == {("r", "c", 5)}
     assert Counter(r["shard"] for r in rows) == Counter({s: 26 if s < 3 else 25 for s in range(8)})
     for s in range(8):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
@@ -302,24 +325,39 @@ def levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("key_lines", [7, 1])
-def test_line_groups_against_all_pairs(spark, monkeypatch, key_lines):
+def places_of(spark, d, path):
+    d.write.mode("overwrite").parquet(path)
+    d = spark.read.parquet(path)
+    return d, common.materialise(line_dedup.lines(d), "test-lines")
+
+
+def normal(line):
+    import re
+
+    return " ".join(re.findall(r"[^\W_]+", line.lower()))
+
+
+@pytest.mark.parametrize("key_lines,share", [(8, 0.97), (2, 0.9)])
+def test_line_groups_against_all_pairs(spark, monkeypatch, tmp_path, key_lines, share):
+    """Against edit similarity alone: no line is grouped with one that no chain of similar lines leads to, and nearly all similar ones meet."""
     monkeypatch.setattr(line_dedup, "KEY_LINES", key_lines)
     rng = random.Random(6)
-    vocab = [f"word{i}" for i in range(300)]
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(300)]
     base = [[rng.choice(vocab) for _ in range(rng.choice([1, 4, 12, 40]))] for _ in range(25)]
     lines = []
-    for _ in range(120):
+    for _ in range(160):
         w = list(rng.choice(base))
         if rng.random() < 0.6:
             w[rng.randrange(len(w))] = rng.choice(vocab)
         lines.append(rng.choice([" ", ", "]).join(w) + rng.choice(["", "!", "."]))
-    texts = ["\n".join(lines[i : i + 5]) for i in range(0, 120, 5)] + [None, "", "...\n\n", lines[0].upper()]
-    d = docs_of(spark, list(enumerate(texts)) + [(None, lines[1])])
-    groups = line_dedup.groups(d).collect()
-    raw = line_dedup.lines(d).collect()
-    norm = {r["h"]: r["norm"] for r in raw}
-    sims = {r["h"]: r["sim"] for r in line_dedup.simhashes(spark.createDataFrame(list(norm.items()), "h long, norm string"), []).collect()}
+    texts = ["\n".join(lines[i : i + 5]) for i in range(0, 160, 5)] + [None, "", "...\n\n", lines[0].upper()]
+    d, found = places_of(spark, docs_of(spark, list(enumerate(texts)) + [(None, lines[1])]), str(tmp_path / "d"))
+    norm = {}
+    text_of = {r["doc_id"]: r["text"] for r in d.collect()}
+    for r in found.collect():
+        norm[r["h"]] = normal(text_of[r["id"]].split("\n")[r["line_no"]])
+    groups = {r["h"]: r for r in line_dedup.groups(d, found).collect()}
+    assert set(groups) == set(norm)
     parent = {h: h for h in norm}
 
     def root(h):
@@ -327,23 +365,36 @@ def test_line_groups_against_all_pairs(spark, monkeypatch, key_lines):
             h = parent[h]
         return h
 
-    hs = sorted(norm)
-    for i, a in enumerate(hs):
-        for b in hs[:i]:
-            most = int(max(len(norm[a]), len(norm[b])) * 0.2 + 1e-9)
-            if bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= line_dedup.MAX_BITS and abs(len(norm[a]) - len(norm[b])) <= most and levenshtein(norm[a], norm[b]) <= most:
-                parent[root(a)] = root(b)
-    first = defaultdict(list)
-    for r in raw:
-        first[root(r["h"])].append((r["id"] is None, r["id"] or 0, r["line_no"]))
-    assert len(groups) == len(norm)
-    for g in groups:
-        lead = min(first[root(g["h"])])
-        assert (g["root_id"] is None, g["root_id"] or 0, g["root_line"]) == lead
-    assert any(g["first_id"] != g["root_id"] for g in groups)
-
-
-def test_lines_at_edit_similarity_meet(spark):
+    def similar(a, b):
+        by_word = max(len(a), len(b)) > line_dedup.LONG_CHARS
+        a, b = (a.split(), b.split()) if by_word else (a, b)
+        most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+        return abs(len(a) - len(b)) <= most and levenshtein(a, b) <= most
+
+    pairs = [(a, b) for a in norm for b in norm if a < b and similar(norm[a], norm[b])]
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    found_root = {h: (g["root_id"], g["root_line"]) for h, g in groups.items()}
+    assert len(pairs) > 40 and np.mean([found_root[a] == found_root[b] for a, b in pairs]) >= share
+    for h, g in groups.items():
+        mine = [x for x in groups.values() if root(x["h"]) == root(h)]
+        assert found_root[h] in {(x["first_id"], x["first_line"]) for x in mine}
+
+
+def test_line_recall_on_documents(spark):
+    """Of all pairs of distinct lines of the documents with edit similarity 0.8 or more, in characters, 0.95 or more are grouped."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = common.materialise(line_dedup.lines(d), "test-lines")
+    roots = {r["h"]: (r["root_id"], r["root_line"]) for r in line_dedup.groups(d, found).collect()}
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    norm = {r["h"]: normal(text[r["id"]].split("\n")[r["line_no"]]) for r in found.collect()}
+    rows = spark.createDataFrame([(h, t, len(t)) for h, t in norm.items()], "h long, t string, n int").repartition(8)
+    rows.createOrReplaceTempView("all_lines")
+    pairs = spark.sql("SELECT /*+ BROADCAST(y) */ x.h a, y.h b FROM all_lines x JOIN all_lines y ON x.h < y.h AND greatest(x.n, y.n) - least(x.n, y.n) <= floor(greatest(x.n, y.n) * 0.2 + 1e-9) WHERE levenshtein(x.t, y.t, cast(floor(greatest(x.n, y.n) * 0.2 + 1e-9) AS int)) >= 0").collect()
+    assert len(pairs) > 30 and np.mean([roots[r["a"]] == roots[r["b"]] for r in pairs]) >= 0.95
+
+
+def test_lines_at_edit_similarity_meet(spark, tmp_path):
     rng = random.Random(12)
     vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 10))) for _ in range(3000)]
     pairs, least = [], {(1, 2): 1.0, (8, 19): 0.97, (20, 49): 0.97, (60, 90): 0.97}
@@ -360,8 +411,8 @@ def test_lines_at_edit_similarity_meet(spark):
                 b = " ".join(changed)
             if a != b and levenshtein(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
                 pairs.append(((low, high), a, b))
-    d = docs_of(spark, [(i, x) for i, x in enumerate(x for _, a, b in pairs for x in (a, b))])
-    root = {(r["first_id"]): r["root_id"] for r in line_dedup.groups(d).collect()}
+    d, found = places_of(spark, docs_of(spark, [(i, x) for i, x in enumerate(x for _, a, b in pairs for x in (a, b))]), str(tmp_path / "d"))
+    root = {(r["first_id"]): r["root_id"] for r in line_dedup.groups(d, found).collect()}
     first = {}
     for i, x in enumerate(x for _, a, b in pairs for x in (a, b)):
         first.setdefault(x, i)
@@ -375,11 +426,14 @@ def line_dedup_edit(a, at):
 
 
 def test_line_dedup_rows(spark):
-    d = docs_of(spark, [(2, "same line here\nown"), (1, "Same  line, here!\n\nlast"), (3, None), (4, ""), (5, "...\n..."), (1, "Same  line, here!\n\nlast"), (None, "own")])
+    d = docs_of(spark, [(2, "same line here\nown"), (1, "Same  line, here!\n\nlast"), (3, None), (4, ""), (5, "...\n..."), (1, "Same  line, here!\n\nlast"), (None, "own")]).withColumn("row", F.lit("clash")).withColumn("h", F.lit("clash"))
     got = sorted(((r["doc_id"], r["n_lines"], r["n_kept"], r["dropped_lines"], r["text_out"]) for r in line_dedup.dedup(d).collect()), key=repr)
     twice = (1, 3, 3, [], "Same  line, here!\n\nlast")
     assert got == sorted([twice, twice, (2, 2, 1, [0], "own"), (3, 0, 0, [], None), (4, 1, 1, [], ""), (5, 2, 2, [], "...\n..."), (None, 1, 0, [0], "")], key=repr)
     assert line_dedup.dedup(d.limit(0)).count() == 0
+    long = " ".join(f"w{i}" for i in range(60_000))
+    two = line_dedup.dedup(docs_of(spark, [(1, long), (2, "x\n" + long + " end")])).collect()
+    assert {r["doc_id"]: r["dropped_lines"] for r in two} == {1: [], 2: [1]}
 
 
 def test_exponents():
@@ -397,12 +451,14 @@ def test_exponents():
 def test_mix(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 9)), "en", "big" if i % 3 else ("mid" if i % 2 else None), 1) for i in range(600)] + [(900, "", "en", "empty", 0), (901, None, "en", "empty", 0), (5, "again", "en", "big", 1)]
-    d = spark.createDataFrame(rows, DOCS).withColumn("epoch", F.lit("old"))
+    d = spark.createDataFrame(rows, DOCS).withColumn("epoch", F.lit("old")).withColumn("_mix_k", F.lit("old")).withColumn("_k", F.lit("old"))
+    kept = mixing.mix(d, annotate=False, repetition_limit=2.5)
+    assert kept.columns == d.columns and {(r["epoch"], r["_mix_k"], r["_k"]) for r in kept.collect()} == {("old", "old", "old")}
     plan = {p[0]: p for p in mixing.plan(d, repetition_limit=2.5)}
     assert min(p[3] for p in plan.values()) == 1.0 and max(p[3] for p in plan.values()) == pytest.approx(2.5)
     out = mixing.mix(d, repetition_limit=2.5).collect()
     longest = 8
-    for source, (_, tokens, weight, epochs) in plan.items():
+    for source, (_, tokens, weight, epochs, _) in plan.items():
         mine = [r for r in out if r["source"] == source]
         got = sum(len((r["text"] or "").split()) for r in mine)
         assert abs(got - tokens * epochs) <= longest
@@ -518,7 +574,9 @@ def test_warc_round_trip(spark, tmp_path):
     pages = [(5, "x" * 100), (3, "x" * 100), (9, "x" * 100), (4, "y" * 99), (2, "y" * 99), (1, None), (7, ""), (8, big), (6, big), (None, "z" * 200), (None, "z" * 200), (11, "q" * 300), (11, "q" * 300)]
     df = spark.createDataFrame([(i, h, f"http://x/{i}\r\nEvil: 1") for i, h in pages], "page_id long, html string, url string").withColumn("digest", F.lit("clash"))
     table = warc.write(df)
-    assert table.where("n_chunks > 1").count() > 3 and table.agg(F.max(F.length("data"))).first()[0] <= warc.CHUNK_BYTES + 4
+    assert table.where("n_chunks > 1").count() > 3 and table.agg(F.max(F.length("data"))).first()[0] <= warc.CHUNK_BYTES + 1000
+    for r in table.groupBy("record").agg(F.count("*").alias("c"), F.min("n_chunks").alias("a"), F.max("n_chunks").alias("b"), F.max("chunk").alias("m")).collect():
+        assert r["c"] == r["a"] == r["b"] == r["m"] + 1
     assert sorted((tuple(r) for r in warc.read(table).collect()), key=repr) == brute_warc(pages)
     warc.export(table, str(tmp_path / "warc"))
     data = b"".join(p.read_bytes() for p in sorted((tmp_path / "warc").glob("*.warc")))
@@ -526,6 +584,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(warc.write(df.limit(0))).count() == 0
 
 
+def test_warc_long_url(spark):
+    df = spark.createDataFrame([(1, "a" * 500, "http://x/" + "u" * 2_000_000), (2, "é" * 700_000, None)], "page_id long, html string, url string")
+    got = warc.read(warc.write(df)).collect()
+    assert sorted(tuple(r) for r in got) == brute_warc([(1, "a" * 500), (2, "é" * 700_000)])
+
+
 def test_warc_damage(spark):
     table = warc.write(spark.createDataFrame([(1, "a" * 500, "u")], "page_id long, html string, url string"))
     broken = table.withColumn("data", F.expr("cast(replace(cast(data as string), 'aaaa', 'aaab') as binary)"))
