@@ -50,7 +50,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, small sources up to 1.5 times as often as the largest."""
-    return mixing.mix(docs, repetition_limit=1.5).select(*docs.columns)
+    return mixing.mix(docs, annotate=False, repetition_limit=1.5)
 
 
 def deal_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
