@@ -85,20 +85,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, low: int = 3
     for c in (0, 1):
         part = known.where(F.col("y") == c).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(max_rows // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
-    words = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(_words_of, "y int, words string"), "words")
+    words = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(lean(_words_of), "y int, words string"), "words")
     size = {r[0]: r[1] for r in words.groupBy("y").count().collect()}
     if len(size) < 2:
         share = min(max(float(max(size, default=0)), 1e-6), 1 - 1e-6)
         return Model({}, float(np.log(share / (1 - share))), low, high)
     n1, n0 = size[1] + 2, size[0] + 2
-    counts = words.mapInArrow(_count(low, high), "gram string, p long, q long").groupBy("gram").agg((F.sum("p") + 1).alias("p"), (F.sum("q") + 1).alias("q")).where(F.col("p") + F.col("q") >= min_rows + 2)
+    counts = words.mapInArrow(lean(_count(low, high)), "gram string, p long, q long").groupBy("gram").agg((F.sum("p") + 1).alias("p"), (F.sum("q") + 1).alias("q")).where(F.col("p") + F.col("q") >= min_rows + 2)
     ratio = F.log(F.col("p") / n1) - F.log(F.col("q") / n0)
     error = F.sqrt(1 / F.col("p") - 1 / n1 + 1 / F.col("q") - 1 / n0)
     best = counts.select("gram", ratio.alias("r"), F.abs(ratio / error).alias("z")).where(F.col("z") >= significance).orderBy(F.desc("z"), "gram").limit(max_features)
     named = sorted((r[0], r[1]) for r in best.collect())
     names, ratios = [g for g, _ in named], np.array([r for _, r in named])
     # packed, at most max_rows texts: four bytes a feature and two a count
-    rows = words.mapInArrow(_features(names, low, high), "y int, ids binary, words binary").toArrow()
+    rows = words.mapInArrow(lean(_features(names, low, high)), "y int, ids binary, words binary").toArrow()
     known = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     features = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.uint16)) for i, n in zip(rows["ids"], rows["words"], strict=True)]
     w, b = _logistic(features, rows["y"].to_numpy().astype(np.float64), ratios, known[1] / (known[0] + known[1]), l2, steps)
