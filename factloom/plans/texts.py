@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, credibility, matching, ordered, retrieval, scoring, verify
-from .base import query, table
+from .base import few, query, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 _ACC = f"'{T.ACCENTS[0]}', '{T.ACCENTS[1]}'"
@@ -187,30 +187,37 @@ def quote_containment(spark, sf_dir):
     # words at the rim of a quote can be parts of longer words in a text
     inner = F.expr(r"array_distinct(slice(regexp_extract_all(quote, '[\\p{L}\\p{N}]+', 0), 2, greatest(size(regexp_extract_all(quote, '[\\p{L}\\p{N}]+', 0)) - 2, 0)))")
     asked = b.select("item_id", F.explode(inner).alias("w"))
-    posted = d.select("doc_id", F.explode(words("text")).alias("w")).join(F.broadcast(asked.select("w").distinct()), "w", "left_semi")
+    posted = d.select("doc_id", F.explode(words("text")).alias("w")).join(few(asked.select("w").distinct()), "w", "left_semi")
     df = posted.groupBy("w").agg(F.count("*").alias("df"))
     rare = asked.join(df, "w").groupBy("item_id").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
-    pairs = posted.join(F.broadcast(rare), "w").select("doc_id", "item_id")
-    short = b.where(F.size(inner) == 0).select("item_id")
-    pairs = pairs.unionByName(d.select("doc_id").join(F.broadcast(short), F.lit(True))).join(F.broadcast(b), "item_id")
+    pairs = posted.join(few(rare), "w").select("doc_id", "item_id")
+    # quotes without an inner word: their first characters lead to texts
+    short = b.where(F.size(inner) == 0)
+    for n in (1, 2, 3):
+        begins = short.where(F.least(F.length("quote"), F.lit(3)) == n).select("item_id", F.substring("quote", 1, n).alias("w"))
+        if begins.limit(1).count():
+            parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.col("text").substr(i, F.lit(n))))
+            pairs = pairs.unionByName(d.where("text != ''").select("doc_id", F.explode(parts).alias("w")).join(few(begins), "w").select("doc_id", "item_id"))
+    pairs = pairs.join(few(b), "item_id")
     return pairs.join(d, "doc_id").where(F.contains("text", "quote")).select("doc_id", "item_id")
 
 
-_CHECK = f"""q AS (SELECT item_id, text, {_norm_quote('text')} AS nq, CASE item_id % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'CONTRADICTED' ELSE 'UNVERIFIABLE' END AS verdict FROM benchmark),
-e AS (SELECT item_id AS claim_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS pos, {_norm_quote('d.text')} AS nt FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
-h AS (SELECT claim_id, arg_min(chunk_id, CASE WHEN pos = 2 THEN 0 ELSE pos END) AS hit FROM e JOIN q ON q.item_id = e.claim_id WHERE length(nq) >= 10 AND contains(nt, nq) GROUP BY claim_id)"""
+_CHECK = f"""{_BM25}, k AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS pos FROM b),
+asked AS (SELECT item_id, text, {_norm_quote('text')} AS nq, CASE item_id % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'CONTRADICTED' ELSE 'UNVERIFIABLE' END AS verdict FROM benchmark),
+shown AS (SELECT query_id AS claim_id, chunk_id, pos, {_norm_quote('d.text')} AS nt FROM k JOIN documents d ON d.doc_id = k.chunk_id WHERE pos <= 8),
+h AS (SELECT claim_id, arg_min(chunk_id, CASE WHEN pos = 2 THEN 0 ELSE pos END) AS hit FROM shown JOIN asked ON asked.item_id = shown.claim_id WHERE length(nq) >= 10 AND contains(nt, nq) GROUP BY claim_id)"""
 
 
 @query(f"""WITH {_CHECK} SELECT item_id AS claim_id, CASE WHEN verdict <> 'UNVERIFIABLE' AND hit IS NULL THEN 'UNVERIFIABLE' ELSE verdict END AS verdict, verdict AS raw_verdict,
 CASE WHEN hit IS NOT NULL THEN 1 WHEN length(nq) >= 10 OR verdict <> 'UNVERIFIABLE' THEN 0 END AS quote_verified, hit AS quoted_chunk_id FROM q LEFT JOIN h ON h.claim_id = q.item_id""")
 def check_verdict(spark, sf_dir):
-    from pyspark.sql import Window
-
+    # the evidence of a claim: what keyword search over all documents ranks first for it
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     verdict = F.element_at(F.array(F.lit("SUPPORTED"), F.lit("CONTRADICTED"), F.lit("UNVERIFIABLE")), (F.col("item_id") % 3 + 1).cast("int"))
     answers = b.select(F.col("item_id").alias("claim_id"), F.lit(None).cast("int").alias("year"), verdict.alias("verdict"), F.col("text").alias("quote"), F.lit(2).alias("evidence_index"))
-    shown = d.select((F.col("doc_id") % 40).alias("k"), F.col("doc_id").alias("chunk_id"), "text").join(F.broadcast(b.select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 40).alias("k"))), "k")
-    evidence = shown.withColumn("pos", F.row_number().over(Window.partitionBy("claim_id").orderBy("chunk_id"))).select("claim_id", "pos", "chunk_id", "text")
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = retrieval.bm25(chunks, b.select(F.col("item_id").alias("query_id"), "text")).where(F.col("rank") <= retrieval.EVIDENCE_K)
+    evidence = hits.select(F.col("query_id").alias("claim_id"), F.col("rank").alias("pos"), "chunk_id").join(chunks, "chunk_id")
     return verify.check_verdicts(answers, evidence).select("claim_id", "verdict", "raw_verdict", "quote_verified", "quoted_chunk_id")
 
 
