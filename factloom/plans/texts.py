@@ -209,7 +209,7 @@ h AS (SELECT claim_id, arg_min(chunk_id, CASE WHEN pos = 2 THEN 0 ELSE pos END)
 
 
 @query(f"""WITH {_CHECK} SELECT item_id AS claim_id, CASE WHEN verdict <> 'UNVERIFIABLE' AND hit IS NULL THEN 'UNVERIFIABLE' ELSE verdict END AS verdict, verdict AS raw_verdict,
-CASE WHEN hit IS NOT NULL THEN 1 WHEN length(nq) >= 10 OR verdict <> 'UNVERIFIABLE' THEN 0 END AS quote_verified, hit AS quoted_chunk_id FROM q LEFT JOIN h ON h.claim_id = q.item_id""")
+CASE WHEN hit IS NOT NULL THEN 1 WHEN length(nq) >= 10 OR verdict <> 'UNVERIFIABLE' THEN 0 END AS quote_verified, hit AS quoted_chunk_id FROM asked LEFT JOIN h ON h.claim_id = asked.item_id""")
 def check_verdict(spark, sf_dir):
     # the evidence of a claim: what keyword search over all documents ranks first for it
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
