@@ -65,12 +65,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # law `rows`: a uniform shuffle cannot keep groups of equal texts together
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # law `rows`: a uniform shuffle cannot keep groups of equal texts together; texts travel, and are measured where they arrive
+    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
-    out = sharding.shard(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32")), 8)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
