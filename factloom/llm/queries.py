@@ -66,6 +66,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     # law `rows`: a uniform shuffle cannot keep groups of equal texts together; texts travel, and are measured where they arrive
+    # whole rows wait in the JVM while their cells are drawn: few at a time
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
