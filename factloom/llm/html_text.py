@@ -32,26 +32,30 @@ BLOCK = set(
 )
 BOILER_TAGS = set("nav footer aside form button select dialog menu head search label option fieldset datalist".split())
 BOILER_WORDS = set(
-    "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb "
-    "breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay dialog comment comments reply replies disqus respond "
+    "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb "
+    "breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay comment comments reply replies disqus respond "
     "footer share sharing social related recommended recommendations newsletter subscribe signup login search widget toolbar pagination pager "
-    "skip copyright legal disclaimer tags masthead topbar".split()
+    "skip alert dialog masthead topbar".split()
 )
+#: Words that a container of main text may bear as well.
+VAGUE_WORDS = set("side copyright legal disclaimer tags".split())
 BOILER_ROLES = set("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
 MAIN_TAGS, MAIN_ROLES = {"article", "main"}, {"main", "article"}
 MAIN_WORDS = {"article", "post", "story", "entry"}
 #: An element on the left is closed by the start of one on the right.
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
-FEATURES = ["words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "inside_main", "boiler", "heading"]
+#: inside_main: 2 inside the main container, 1: the page has none, 0: outside it; chrome: inside a tag or role of the page's frame, or hidden;
+#: named: 2 inside a container of a BOILER_WORDS name, 1: of a VAGUE_WORDS name.
+FEATURES = ["words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "inside_main", "chrome", "named", "heading"]
 
 
 class _Element:
-    __slots__ = ("boiler", "main", "tag")
+    __slots__ = ("chrome", "main", "named", "tag")
 
     def __init__(self, tag: str, up: _Element | None, attrs: str) -> None:
         self.tag = tag
-        main, boiler = bool(up and up.main), bool(up and up.boiler)
+        main, chrome, named = (up.main, up.chrome, up.named) if up else (False, False, 0)
         names, role, hidden = set(), "", False
         if attrs.strip(" /"):
             for k, a, b, c, flag in _ATTR.findall(attrs):
@@ -62,18 +66,18 @@ class _Element:
                     role = v.strip().lower()
                 elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I)):
                     hidden = True
-        body = tag in ("body", "html")
-        if tag in BOILER_TAGS or role in BOILER_ROLES or hidden or (names & BOILER_WORDS and not body and tag not in ("main",) and not (tag in MAIN_TAGS and not up_is_main(up))):
-            boiler = True
-        if not main and (tag == "header" or (tag in ("div", "section") and names & {"header"})):
-            boiler = True  # a page's header; an article's own holds its title
-        if not boiler and (tag in MAIN_TAGS or role in MAIN_ROLES or (tag in ("div", "section") and names & MAIN_WORDS)):
+        chrome = chrome or tag in BOILER_TAGS or role in BOILER_ROLES or hidden
+        # a page's header; an article's own holds its title
+        chrome = chrome or (not main and (tag == "header" or (tag in ("div", "section") and "header" in names)))
+        if tag not in ("body", "html", "main") and not (tag == "article" and not main):
+            named = max(named, 2 if names & BOILER_WORDS else 1 if names & VAGUE_WORDS else 0)
+        if not chrome and named < 2 and (tag in MAIN_TAGS or role in MAIN_ROLES or (tag in ("div", "section") and names & MAIN_WORDS)):
             main = True
-        self.main, self.boiler = main, boiler
+        self.main, self.chrome, self.named = main, chrome, named
 
-
-def up_is_main(up: _Element | None) -> bool:
-    return bool(up and up.main)
+    @property
+    def framed(self) -> bool:
+        return self.chrome or self.named > 0
 
 
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
@@ -97,7 +101,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
                 heading = any(e.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack)
                 main = bool(top and top.main)
                 any_main |= main
-                found.append([joined, n, min(1.0, m / n), main, bool(top and top.boiler), heading])
+                found.append([joined, n, min(1.0, m / n), main, bool(top and top.chrome), top.named if top else 0, heading])
             text.clear()
         linked.clear()
 
@@ -127,7 +131,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
                 continue
             if tag not in VOID and not m["close"] and not (m["attrs"] or "").endswith("/") and re.search(r"\b(class|id|role|hidden|style|aria-hidden)\b", m["attrs"] or "", re.I):
                 e = _Element(tag, stack[-1] if stack else None, m["attrs"])
-                if e.boiler and not (stack and stack[-1].boiler):
+                if e.framed and not (stack and stack[-1].framed):
                     flush()  # an inline element that is hidden or an advert is a block of its own
                     stack.append(e)
             elif m["close"] and stack and stack[-1].tag == tag:
@@ -159,11 +163,10 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
         add(page[at:])
     flush()
     out = []
-    for i, (s, n, density, main, boiler, heading) in enumerate(found):
+    for i, (s, n, density, main, chrome, named, heading) in enumerate(found):
         before = found[i - 1] if i else (None, 0, 0.0)
         after = found[i + 1] if i + 1 < len(found) else (None, 0, 0.0)
-        # 2: inside the main container; 1: the page has none; 0: outside it
-        out.append((s, [float(n), density, float(before[1]), before[2], float(after[1]), after[2], 2.0 if main else 0.0 if any_main else 1.0, float(boiler), float(heading)]))
+        out.append((s, [float(n), density, float(before[1]), before[2], float(after[1]), after[2], 2.0 if main else 0.0 if any_main else 1.0, float(chrome), float(named), float(heading)]))
     return out
 
 
@@ -176,19 +179,36 @@ def _a(n: int) -> str:
 
 
 #: The small labelled table: page layouts, and a 1 for each of their blocks that is main text, in page order.
+#: Half of the pages are plain containers, in which only a block's and its neighbours' numbers tell.
 LABELLED = [
-    (f"<header><div>{_w(3)}</div><nav><ul><li>{_a(1)}<li>{_a(1)}<li>{_a(2)}</ul></nav></header><article><h1>{_w(7)}</h1><p>{_w(60)}<p>{_w(1)}<p>{_w(24)}<p>{_w(2)}</article><footer>{_w(6)}</footer>", "0000111110"),
-    (f"<nav>{_a(1)}</nav><div class=ad>{_w(9)}</div><main><h1>{_w(4)}</h1><p>{_w(1)}</p><p>{_w(2)} {_a(1)} {_w(40)}</p><div class=ad>{_w(30)}</div><p>{_w(12)}</p><ul><li>{_w(5)}<li>{_w(3)}</ul></main><aside>{_w(25)}<p>{_a(5)}</aside><footer>{_w(14)}<p>{_a(3)}</footer>", "0011101110000"),
-    (f"<article><h1>{_w(5)}</h1><p>{_w(80)}</p><h2>{_w(3)}</h2><p>{_a(2)} {_w(9)}</p><p>{_w(6)}</p><section class=comments><h3>{_w(1)}</h3><p>{_w(33)}</p><p>{_w(2)}</p></section></article><form><p>{_w(4)}</p></form>", "111110000"),
-    (f"<div id=cookie-notice>{_w(22)} {_a(2)}</div><div class=menu>{_a(1)}<p>{_a(2)}</div><div><h1>{_w(8)}</h1><p>{_w(55)}</p><p>{_w(30)}</p><p>{_w(4)}</p><p>{_w(45)}</p></div><div>{_a(2)}</div><div>{_a(1)} {_w(1)} {_a(1)}</div>", "0001111100"),
+    (f"<header><div>{_w(3)}</div><nav><ul><li>{_a(1)}<li>{_a(2)}</ul></nav></header><article><h1>{_w(7)}</h1><p>{_w(60)}<p>{_w(1)}<p>{_w(24)}<p>{_w(2)}</article><footer>{_w(6)}</footer>", "000111110"),
+    (f"<nav>{_a(1)}</nav><div class=ad>{_w(9)}</div><main><h1>{_w(4)}</h1><p>{_w(1)}</p><p>{_w(2)} {_a(1)} {_w(40)}</p><div class=ad>{_w(30)}</div><p>{_w(12)}</p><ul><li>{_w(5)}<li>{_w(3)}</ul></main><aside>{_w(25)}</aside><footer>{_w(14)}</footer>", "00111011100"),
+    (f"<article><h1>{_w(5)}</h1><p>{_w(80)}</p><p>{_a(2)} {_w(9)}</p><p>{_w(6)}</p><section class=comments><h3>{_w(1)}</h3><p>{_w(33)}</p><p>{_w(2)}</p></section></article><form><p>{_w(4)}</p></form>", "11110000"),
+    (f"<article><p>{_w(1)} {_a(5)}</p><p>{_w(1)}</p><p>{_a(6)}</p><p>{_w(3)} {_a(2)}</p></article><div>{_a(3)}</div><div>{_w(9)}</div>", "111100"),
+    (f"<div>{_w(3)}</div><main><article><header><h1>{_w(6)}</h1><p>{_w(3)}</p></header><p>{_w(48)}</p><p>{_a(4)}</p><p>{_w(35)}</p></article></main><div>{_w(28)}</div><div>{_w(2)}</div>", "01111100"),
+    (f"<div>{_w(40)}</div><div class=post-legal><p>{_w(40)}</p><p>{_w(5)}</p></div><div class=legal>{_w(30)}</div>", "0110"),
+    (f"<div id=cookie-notice>{_w(22)} {_a(2)}</div><div class=menu>{_a(1)}<p>{_a(2)}</div><div><h1>{_w(8)}</h1><p>{_w(55)}</p><p>{_w(4)}</p><p>{_w(45)}</p></div><div class=comments><p>{_w(40)}</p></div><div>{_a(2)}</div>", "000111100"),
+    (f"<div class=banner>{_w(35)}</div><div><p>{_w(50)}</p><p>{_w(20)}</p></div><aside><p>{_w(30)}</p></aside><form>{_w(15)}</form><footer><p>{_w(25)}</p></footer>", "011000"),
     (f"<div>{_a(2)}</div><div>{_a(1)}</div><div>{_w(2)} {_a(3)}</div><div><p>{_w(70)}</p><p>{_w(18)} {_a(2)} {_w(15)}</p><p>{_w(11)}</p></div><div>{_a(4)}</div><div>{_a(3)}</div><div>{_w(3)}</div>", "000111000"),
-    (f"<article><p>{_w(1)}</p></article><footer>{_w(1)}</footer>", "10"),
-    (f"<div>{_w(3)}</div><main><article><header><h1>{_w(6)}</h1><p>{_w(3)}</p></header><p>{_w(48)}</p><blockquote>{_w(9)}</blockquote><p>{_a(4)}</p><p>{_w(35)}</p></article></main><div>{_w(28)}</div><div>{_w(2)}</div>", "011111100"),
+    (f"<div>{_a(1)}</div><p>{_w(90)}</p><p>{_w(17)}</p><div>{_a(2)} {_w(1)}</div>", "0110"),
+    (f"<div>{_a(1)}</div><div>{_a(1)}</div><div>{_w(4)}</div><div>{_a(2)}</div><h1>{_w(6)}</h1><p>{_w(33)}</p><p>{_w(3)}</p><p>{_w(28)}</p><p>{_w(7)}</p><p>{_w(64)}</p><div>{_a(1)}</div><div>{_a(3)}</div>", "000011111100"),
+    (f"<div>{_a(3)}</div><div>{_a(2)}</div><div>{_w(14)}</div><div>{_w(41)}</div><div>{_w(2)}</div><div>{_w(22)} {_a(3)}</div><div>{_a(5)}</div><div>{_a(1)}</div><div>{_w(5)}</div>", "001111000"),
+    (f"<div>{_w(2)}</div><div>{_a(2)}</div><div>{_a(2)}</div><h2>{_w(9)}</h2><div>{_w(120)}</div><div>{_w(30)}</div><div>{_a(8)}</div><div>{_w(4)} {_a(4)}</div><div>{_w(6)} {_a(1)}</div>", "000111000"),
+    (f"<div>{_a(12)}</div><div>{_w(1)} {_a(15)}</div><p>{_w(25)}</p><p>{_w(36)} {_a(6)}</p><p>{_w(5)}</p><p>{_w(19)}</p><div>{_a(20)}</div><div>{_w(8)}</div>", "00111100"),
+    (f"<div>{_a(1)}</div><h1>{_w(4)}</h1><p>{_w(13)}</p><p>{_w(16)}</p><p>{_w(1)}</p><p>{_w(10)}</p><div>{_a(2)}</div><div>{_a(1)} {_w(2)}</div>", "01111100"),
     (f"<div><h2>{_w(4)}</h2></div><p>{_w(26)}</p><p>{_w(2)}</p>", "111"),
     (f"<p>{_w(40)}</p>", "1"),
+    (f"<article><h1>{_w(6)}</h1><nav>{_a(4)}</nav><p>{_w(45)}</p><div class=ad>{_a(7)}</div><p>{_w(2)}</p><aside><p>{_a(3)}</p></aside><p>{_a(5)}</p><div class=comments><p>{_a(2)}</p><p>{_w(21)}</p></div></article>", "101010100"),
+    (f"<article><p>{_w(30)}</p><p>{_a(2)}</p><p>{_w(5)}</p><p>{_a(1)}</p><p>{_w(48)}</p><p>{_a(4)}</p><p>{_w(70)}</p><nav>{_a(6)}</nav><div class=share>{_a(3)}</div><p>{_a(3)}</p></article>", "1111111001"),
+    (f"<main><div class=ad>{_a(3)}</div><p>{_a(2)}</p><p>{_w(4)}</p><p>{_w(2)}</p><p>{_a(3)}</p><p>{_w(60)}</p><nav>{_a(2)}</nav></main>", "0111110"),
+    (f"<article><p>{_w(1)} {_a(5)}</p><p>{_w(1)}</p></article>", "11"),
+    (f"<main><p>{_w(20)}</p><p>{_a(3)}</p><p>{_w(9)}</p></main>", "111"),
+    (f"<div>{_w(50)}</div><article><form>{_a(2)}</form><p>{_w(3)}</p><p>{_w(8)}</p><div class=newsletter><p>{_w(11)}</p><p>{_a(2)}</p></div><p>{_w(31)}</p><footer><p>{_w(7)}</p><p>{_a(3)}</p></footer></article>", "001100100"),
+    (f"<div>{_a(1)}</div><div>{_a(2)}</div><div>{_w(4)}</div><div>{_a(1)}</div><p>{_w(44)}</p><p>{_w(2)}</p><p>{_w(2)}</p><p>{_w(38)}</p><p>{_w(9)}</p><p>{_w(6)}</p><div>{_a(2)}</div><div>{_w(3)}</div>", "000011111100"),
+    (f"<div>{_a(3)}</div><div>{_w(2)}</div><div>{_a(1)}</div><h1>{_w(12)}</h1><p>{_w(75)}</p><p>{_a(3)} {_w(30)}</p><div>{_a(2)} {_w(1)}</div><div>{_w(3)}</div><div>{_a(4)}</div>", "000111000"),
     (f"<div><p>{_w(35)}</p><p>{_w(50)}</p></div>", "11"),
+    (f"<article><p>{_w(1)}</p></article><footer>{_w(1)}</footer>", "10"),
     (f"<h1>{_w(5)}</h1><p>{_w(50)}</p><p>{_w(12)}</p><p>{_w(8)}</p>", "1111"),
-    (f"<div>{_a(1)}</div><p>{_w(90)}</p><p>{_w(17)}</p><div>{_a(2)} {_w(1)}</div>", "0110"),
 ]
 
 
@@ -205,7 +225,7 @@ def training_table() -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 8):
-    """CART by Gini impurity: nested (feature, threshold, tree if <=, tree if >), leaves 0 or 1."""
+    """CART by Gini impurity: nested (feature, threshold, tree if <=, tree if >), leaves 0 or 1.  Of equal splits, the first feature's."""
     if depth == 0 or len(set(y.tolist())) == 1:
         return int(y.mean() >= 0.5)
     best = None
