@@ -66,3 +66,43 @@ def confusion(labelled: DataFrame, classes: list[str]) -> DataFrame:
     """A row per expected class with counts of each predicted class and OTHER, from (expected, predicted)."""
     named = labelled.withColumn("predicted", F.when(F.col("predicted").isin(classes), F.col("predicted")).otherwise("OTHER"))
     return named.groupBy("expected").pivot("predicted", [*classes, "OTHER"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def missed(golden: DataFrame, paired: DataFrame) -> DataFrame:
+    """Golden rows (set_id, id, text) that no row was paired with."""
+    return golden.select("set_id", "id", "text").join(paired.select("set_id", F.col("g").alias("id")), ["set_id", "id"], "left_anti")
+
+
+def _expected(golden: DataFrame, rows: DataFrame, paired: DataFrame, column: str) -> DataFrame:
+    """(set_id, g, text, expected, paired, actual): every golden row with the column of the row it is paired with."""
+    g = golden.select("set_id", F.col("id").alias("g"), "text", F.col(column).alias("expected"))
+    actual = paired.select("set_id", "g", "r").join(rows.select("set_id", F.col("id").alias("r"), F.col(column).alias("actual")), ["set_id", "r"])
+    return g.join(actual.withColumn("paired", F.lit(True)), ["set_id", "g"], "left").withColumn("paired", F.coalesce("paired", F.lit(False))).drop("r")
+
+
+def verdict_classes(golden: DataFrame, rows: DataFrame, paired: DataFrame) -> DataFrame:
+    """(set_id, expected, golden, total, correct): golden rows of each expected verdict, how many are paired, and how many of these agree."""
+    right = F.col("paired") & F.col("actual").eqNullSafe(F.col("expected"))
+    return _expected(golden, rows, paired, "verdict").groupBy("set_id", "expected").agg(F.count("*").alias("golden"), F.count_if("paired").alias("total"), F.count_if(right).alias("correct"))
+
+
+def verdict_score(classes: DataFrame) -> DataFrame:
+    """(set_id, golden, matched, correct, accuracy, coverage) from verdict_classes(); shares of nothing are 0."""
+    out = classes.groupBy("set_id").agg(F.sum("golden").alias("golden"), F.sum("total").alias("matched"), F.sum("correct").alias("correct"))
+    return out.withColumns({"accuracy": F.coalesce(F.try_divide("correct", "matched"), F.lit(0.0)), "coverage": F.coalesce(F.try_divide("matched", "golden"), F.lit(0.0))})
+
+
+def _stances(golden: DataFrame, rows: DataFrame, paired: DataFrame) -> DataFrame:
+    """Golden rows with a stance; a paired row without one is asserted."""
+    return _expected(golden, rows, paired, "stance").where("expected IS NOT NULL").withColumn("actual", F.coalesce(F.when(F.col("actual") != "", F.col("actual")), F.lit("asserted")))
+
+
+def stance_score(golden: DataFrame, rows: DataFrame, paired: DataFrame) -> DataFrame:
+    """(set_id, agreed, labelled, unpaired) over golden rows with a stance: those paired with the same, paired, and not paired."""
+    agree = F.col("paired") & (F.col("actual") == F.col("expected"))
+    return _stances(golden, rows, paired).groupBy("set_id").agg(F.count_if(agree).alias("agreed"), F.count_if("paired").alias("labelled"), F.count_if(~F.col("paired")).alias("unpaired"))
+
+
+def stance_disagreements(golden: DataFrame, rows: DataFrame, paired: DataFrame) -> DataFrame:
+    """(set_id, g, claim, expected, actual) of pairs whose stances differ; claim has the text's first 80 characters."""
+    return _stances(golden, rows, paired).where("paired AND actual != expected").select("set_id", "g", F.substring("text", 1, 80).alias("claim"), "expected", "actual")

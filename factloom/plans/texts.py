@@ -281,11 +281,49 @@ def confusion_matrix(spark, sf_dir):
     return matching.confusion(rows, _CLASSES)
 
 
-@query("""WITH v AS (SELECT toxic = 1 AS a, n_chars % 2 = 1 AS b FROM documents JOIN labels USING (doc_id)) SELECT count(*) AS paired, count(*) FILTER (a = b) AS agreed, round_even(count(*) FILTER (a = b)::DOUBLE / count(*), 4) AS agreement FROM v""")
+# labels as the golden set, documents as the claims of a run: those whose length is no multiple of 5 are paired
+_GOLDEN = """g AS (SELECT doc_id AS g, lang AS set_id, text, CASE WHEN quality = 1 THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS verdict, CASE WHEN n_chars % 11 != 0 THEN CASE WHEN toxic = 1 THEN 'disavowed' ELSE 'asserted' END END AS stance FROM labels JOIN documents USING (doc_id)),
+p AS (SELECT doc_id AS g, CASE n_chars % 4 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'CONTRADICTED' ELSE 'UNVERIFIABLE' END AS verdict, CASE n_chars % 3 WHEN 0 THEN 'disavowed' WHEN 1 THEN '' END AS stance FROM documents WHERE n_chars % 5 != 0),
+x AS (SELECT g.*, p.g IS NOT NULL AS paired, p.verdict AS said, coalesce(nullif(p.stance, ''), 'asserted') AS took FROM g LEFT JOIN p USING (g))"""
+
+
+def _golden(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    ids, n = (F.col("lang").alias("set_id"), F.col("doc_id").alias("id")), F.col("n_chars")
+    golden = d.join(table(spark, sf_dir, "labels"), "doc_id").select(
+        *ids, "text", F.when(F.col("quality") == 1, "SUPPORTED").otherwise("CONTRADICTED").alias("verdict"),
+        F.when(n % 11 != 0, F.when(F.col("toxic") == 1, "disavowed").otherwise("asserted")).alias("stance"),
+    )
+    said = F.when(n % 4 == 0, "SUPPORTED").when(n % 4 == 1, "CONTRADICTED").otherwise("UNVERIFIABLE")
+    rows = d.select(*ids, said.alias("verdict"), F.when(n % 3 == 0, "disavowed").when(n % 3 == 1, "").alias("stance"))
+    return golden, rows, d.where(n % 5 != 0).select("lang", "doc_id", "doc_id").toDF("set_id", "g", "r")
+
+
+@query(f"WITH {_GOLDEN} SELECT set_id, verdict AS expected, count(*) AS golden, count(*) FILTER (paired) AS total, count(*) FILTER (paired AND said = verdict) AS correct FROM x GROUP BY ALL")
+def verdict_classes(spark, sf_dir):
+    return matching.verdict_classes(*_golden(spark, sf_dir))
+
+
+@query(f"""WITH {_GOLDEN}, n AS (SELECT set_id, count(*) AS golden, count(*) FILTER (paired) AS matched, count(*) FILTER (paired AND said = verdict) AS correct FROM x GROUP BY ALL)
+SELECT *, CASE WHEN matched > 0 THEN correct::DOUBLE / matched ELSE 0 END AS accuracy, matched::DOUBLE / golden AS coverage FROM n""")
+def verdict_score(spark, sf_dir):
+    return matching.verdict_score(matching.verdict_classes(*_golden(spark, sf_dir)))
+
+
+@query(f"WITH {_GOLDEN} SELECT set_id, count(*) FILTER (paired AND took = stance) AS agreed, count(*) FILTER (paired) AS labelled, count(*) FILTER (NOT paired) AS unpaired FROM x WHERE stance IS NOT NULL GROUP BY ALL")
 def stance_score(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select((F.col("toxic") == 1).alias("a"), (F.col("n_chars") % 2 == 1).alias("b"))
-    agreed = F.count_if(F.col("a") == F.col("b"))
-    return rows.agg(F.count("*").alias("paired"), agreed.alias("agreed"), F.bround(F.try_divide(agreed, F.count("*")), 4).alias("agreement"))
+    return matching.stance_score(*_golden(spark, sf_dir))
+
+
+@query(f"WITH {_GOLDEN} SELECT set_id, g, substring(text, 1, 80) AS claim, stance AS expected, took AS actual FROM x WHERE stance IS NOT NULL AND paired AND took != stance")
+def stance_disagreements(spark, sf_dir):
+    return matching.stance_disagreements(*_golden(spark, sf_dir))
+
+
+@query(f"WITH {_GOLDEN} SELECT set_id, g AS id, text FROM x WHERE NOT paired")
+def missed_claims(spark, sf_dir):
+    golden, _, paired = _golden(spark, sf_dir)
+    return matching.missed(golden, paired)
 
 
 _SOURCE = "doc_id long, title string, authors array<string>, publisher string, publication_date string, doi string, isbn string"

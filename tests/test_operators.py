@@ -254,3 +254,16 @@ def test_compare_without_scores(spark):
     a = scoring.accuracy(spark.createDataFrame([("x", "UNVERIFIABLE", None), ("y", "SUPPORTED", None)], "run_id string, verdict string, stance string"), "run_id")
     got = {r["metric"]: (r["a_label"], r["b_label"], r["delta_label"]) for r in views.compare(a, "x", "y").collect()}
     assert got["accuracy"] == ("—", "100%", "—") and got["supported"] == ("0", "1", "+1")
+
+
+def test_scores_over_pairs(spark):
+    golden = spark.createDataFrame([("s", 1, "a", "SUPPORTED", "asserted"), ("s", 2, "b", "SUPPORTED", "disavowed"), ("s", 3, None, "CONTRADICTED", None), ("t", 1, "c", "SUPPORTED", "asserted")], "set_id string, id long, text string, verdict string, stance string")
+    rows = spark.createDataFrame([("s", 7, "SUPPORTED", None), ("s", 8, "PENDING", "asserted"), ("s", 9, None, "disavowed")], "set_id string, id long, verdict string, stance string")
+    paired = spark.createDataFrame([("s", 1, 7), ("s", 2, 8), ("s", 3, 9)], "set_id string, g long, r long")
+    classes = matching.verdict_classes(golden, rows, paired)
+    assert sorted(tuple(r) for r in classes.collect()) == [("s", "CONTRADICTED", 1, 1, 0), ("s", "SUPPORTED", 2, 2, 1), ("t", "SUPPORTED", 1, 0, 0)]
+    assert sorted(tuple(r) for r in matching.verdict_score(classes).collect()) == [("s", 3, 3, 1, 1 / 3, 1.0), ("t", 1, 0, 0, 0.0, 0.0)]
+    assert sorted(tuple(r) for r in matching.stance_score(golden, rows, paired).collect()) == [("s", 1, 2, 0), ("t", 0, 0, 1)]
+    assert [tuple(r) for r in matching.stance_disagreements(golden, rows, paired).collect()] == [("s", 2, "b", "disavowed", "asserted")]
+    assert [tuple(r) for r in matching.missed(golden, paired).collect()] == [("t", 1, "c")]
+    assert matching.verdict_score(matching.verdict_classes(golden.limit(0), rows, paired)).count() == 0
