@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +126,21 @@ class Store:
                 held[run_id] = [version] if new else [*held.get(run_id, []), version]
         self._save(manifest)
 
+    @contextmanager
+    def scratch(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """A function that writes a step's table beside the store's and reads it back; all of them go at the end."""
+        folder = f"scratch/{uuid.uuid4().hex}"
+
+        def keep(df: DataFrame) -> DataFrame:
+            path = f"{self.root}/{folder}/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield keep
+        finally:
+            self._fs().delete(self._path(folder), True)
+
     def replace(self, name: str, run_id: str, df: DataFrame) -> None:
         """The run's rows of the table are df's rows from now on."""
         self.write(run_id, replaced={name: df})
