@@ -6,6 +6,8 @@ claim wording keeps ASCII letters and digits only, titles are Unicode-aware.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +17,16 @@ STOP_WORDS = "a an and are as at be by for from has have in is it its of on or t
 NAME_SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "phd", "md", "esq"]
 # Typographic quotes and dashes and what they count as.
 TYPOGRAPHY = ("‘’“”–—", "''\"\"--")
-# Accented Latin letters and their bases.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
+def _accents() -> tuple[str, str]:
+    """Small Latin letters that are an ASCII letter with one accent, and those letters."""
+    apart = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00))}
+    one = {c: d[0] for c, d in apart.items() if len(d) == 2 and "a" <= d[0] <= "z"}
+    return "".join(one), "".join(one.values())
+
+
+ACCENTS = _accents()
 VALUE_TOLERANCE, OVERLAP_THRESHOLD = 0.001, 0.6
 TABLE_CHARS, TABLE_MARK = 4000, "\n[table truncated]"
 
@@ -149,6 +159,11 @@ def fold_words(c) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(_col(c)), *ACCENTS), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def n_words(c) -> Column:
+    """How many folded words there are."""
+    return F.regexp_count(F.translate(F.lower(_col(c)), *ACCENTS), F.lit(r"[\p{L}\p{N}]+"))
+
+
 def table_text(caption, markdown) -> Column:
     """Caption, blank line, Markdown; cut to 4000 characters and marked; null if empty."""
     full = F.trim(F.concat_ws("\n\n", F.nullif(F.trim(_col(caption)), F.lit("")), _col(markdown)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .sizes import is_few
 
 # BM25 and fusion constants.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -31,23 +32,31 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = POOL, same: list
     may match; a phrase that a query repeats counts again.  Document frequencies, the
     number of chunks and their mean length are those of all chunks, whatever ``same``
     (columns that chunk and query must share) lets through afterwards.  Ties go to the
-    smaller chunk_id.  Only postings of query terms are shuffled.
+    smaller chunk_id, scores being rounded to nine places.  Only postings of query terms
+    are shuffled, those of single words as counts.
     """
     same = same or []
-    asked = queries.select("query_id", *[F.col(c).alias(f"_q_{c}") for c in same], F.explode(T.search_phrases("text")).alias("phrase"))
-    asked = asked.groupBy("query_id", *[f"_q_{c}" for c in same], "phrase").agg(F.count("*").alias("times"))
-    phrases = asked.select("phrase").distinct()
-    terms = phrases.select("phrase", F.size("phrase").alias("words"), F.posexplode("phrase").alias("i", "term"))
-    tokenised = chunks.select("chunk_id", *same, T.fold_words("text").alias("w"))
-    lengths = tokenised.select("chunk_id", *same, F.size("w").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    posted = tokenised.select("chunk_id", F.posexplode("w").alias("pos", "term"))
-    hits = posted.join(terms, "term").groupBy("phrase", "words", "chunk_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("m")).where("m = words")
-    tf = hits.groupBy("phrase", "chunk_id").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
+    asked = queries.select("query_id", *[F.col(c).alias(f"_q_{c}") for c in same], F.explode(T.search_phrases("text")).alias("p"))
+    asked = asked.groupBy("query_id", *[f"_q_{c}" for c in same], F.array_join("p", " ").alias("phrase")).agg(F.count("*").alias("times"))
+    # distinct phrases and their words are no more than a bounded multiple of what is asked: a broadcast only if that is few
+    small = is_few(asked)
+    near = F.broadcast if small else (lambda df: df)
+    phrases = asked.select("phrase").distinct().select("phrase", F.split("phrase", " ").alias("p"))
+    whole = chunks.select("chunk_id", *same, T.fold_words("text").alias("w")).withColumn("dl", F.size("w"))
+    stats = chunks.select(T.n_words("text").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # outer, and nulls dropped after it: the plain generator makes the optimizer split each text once more, to see if it has words
+    posted = whole.select("chunk_id", *same, "dl", F.posexplode_outer("w").alias("pos", "term")).where("term is not null")
+    place = ["chunk_id", "dl", *same]
+    # a phrase of one word is counted before anything is shuffled; only longer ones need places
+    single = posted.join(near(phrases.where(F.size("p") == 1).select("phrase", F.col("p")[0].alias("term"))), "term").groupBy("phrase", *place).agg(F.count("*").alias("tf"))
+    terms = phrases.where(F.size("p") > 1).select("phrase", F.size("p").alias("words"), F.posexplode("p").alias("i", "term"))
+    starts = posted.join(near(terms), "term").groupBy("phrase", "words", *place, (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("m")).where("m = words")
+    tf = single.union(starts.groupBy("phrase", *place).agg(F.count("*").alias("tf")))
+    # asks for tf, so that the exchange below it is the same as the other one's, and done once
+    df = tf.groupBy("phrase").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("phrase", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR)).alias("idf"))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = asked.join(idf, "phrase").join(tf, "phrase").join(lengths, "chunk_id")
+    rows = tf.join(near(asked), "phrase").join(near(idf), "phrase")
     for c in same:
         rows = rows.where(F.col(c) == F.col(f"_q_{c}"))
     scored = rows.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))

@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sizes import few  # noqa: F401, the queries take it from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that may be broadcast; beyond it a join shuffles.
-MAX_BROADCAST_ROWS = 100_000
-
-
-def few(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its rows are few."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
-
-
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents and labels as verdict rows: run = source, quality = verdict, toxic = stance."""
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

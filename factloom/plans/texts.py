@@ -156,6 +156,20 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25(d, q).select("query_id", "chunk_id", "rank")
 
 
+#: Languages stand for the runs and kinds of documents that a search is confined to.
+LANGS = ["de", "en", "es", "fr"]
+
+
+@query(f"""WITH {_BM25}, s AS (SELECT query_id * 4 + l.i AS query_id, chunk_id, score FROM b JOIN (SELECT * FROM (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr')) AS t(i, lang)) l USING (lang)),
+r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 20""")
+def keyword_scoped(spark, sf_dir):
+    """Each item is searched once in each language's documents, with the word statistics of all documents."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "text")
+    scopes = F.posexplode(F.array(*map(F.lit, LANGS))).alias("i", "lang")
+    q = table(spark, sf_dir, "benchmark").select("item_id", "text", scopes)
+    return retrieval.bm25(d, q.select((F.col("item_id") * 4 + F.col("i")).alias("query_id"), "lang", "text"), same=["lang"]).select("query_id", "chunk_id", "rank")
+
+
 _HYBRID = f"""{_BM25}, n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.e, c.e), 9) AS score FROM n q JOIN benchmark i ON i.item_id = q.vec_id JOIN n c ON true),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS v FROM s), kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS w FROM b),
 f AS (SELECT query_id, chunk_id, v, w, coalesce(1.0::DOUBLE / (60 + v), 0) + coalesce(1.0::DOUBLE / (60 + w), 0) AS score FROM (SELECT query_id, chunk_id, v FROM vr WHERE v <= 20) FULL JOIN (SELECT query_id, chunk_id, w FROM kr WHERE w <= 20) USING (query_id, chunk_id)),

@@ -267,3 +267,19 @@ def test_scores_over_pairs(spark):
     assert [tuple(r) for r in matching.stance_disagreements(golden, rows, paired).collect()] == [("s", 2, "b", "disavowed", "asserted")]
     assert [tuple(r) for r in matching.missed(golden, paired).collect()] == [("t", 1, "c")]
     assert matching.verdict_score(matching.verdict_classes(golden.limit(0), rows, paired)).count() == 0
+
+
+def test_folding(spark):
+    df = spark.createDataFrame([("Čapek's Őr, Dvořák — naïve Łódź", 1), (None, 2), ("", 3)], "t string, i int")
+    rows = df.select(T.fold_words("t").alias("w"), T.n_words("t").alias("n"), "i").orderBy("i").collect()
+    assert rows[0]["w"] == ["capek", "s", "or", "dvorak", "naive", "łodz"] and rows[0]["n"] == 6
+    assert rows[1]["w"] is None and rows[2]["w"] == [] and rows[2]["n"] == 0
+
+
+def test_phrases_and_scopes(spark):
+    chunks = spark.createDataFrame([(1, "a", "well known rain"), (2, "a", "known well"), (3, "b", "well known"), (4, "a", None), (5, "a", "well well known known")], "chunk_id long, run string, text string")
+    asked = spark.createDataFrame([(7, "a", "well-known"), (8, "b", "rain known"), (9, "b", '"')], "query_id long, run string, text string")
+    rows = retrieval.bm25(chunks, asked, same=["run"]).orderBy("query_id", "rank").collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in rows} == {(7, 1), (7, 5), (8, 3)}
+    everywhere = retrieval.bm25(chunks, asked).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in everywhere} == {(7, 1), (7, 3), (7, 5), (8, 1), (8, 2), (8, 3), (8, 5)}
