@@ -255,20 +255,20 @@ def token_overlap_pairs(spark, sf_dir):
     return _candidates(spark, sf_dir)[2].select("g", "r", F.bround("quality", 6).alias("quality"))
 
 
-_GREEDY = f"""{_PAIRS}, o AS (SELECT g, row_number() OVER (ORDER BY g) AS n FROM (SELECT DISTINCT g FROM c)),
+def _greedy(order: str) -> str:
+    """m (g, r): golden rows in turn, each with the first row in this order that none before has taken."""
+    return f"""{_PAIRS}, o AS (SELECT g, row_number() OVER (ORDER BY g) AS n FROM (SELECT DISTINCT g FROM c)),
 walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS taken, NULL::BIGINT AS g, NULL::BIGINT AS r
   UNION ALL SELECT o.n, CASE WHEN k.r IS NULL THEN walk.taken ELSE list_append(walk.taken, k.r) END, o.g, k.r FROM walk JOIN o ON o.n = walk.n + 1
-  LEFT JOIN LATERAL (SELECT c.r FROM c WHERE c.g = o.g AND NOT list_contains(walk.taken, c.r) ORDER BY c.quality DESC, c.r LIMIT 1) k ON true),
+  LEFT JOIN LATERAL (SELECT c.r FROM c WHERE c.g = o.g AND NOT list_contains(walk.taken, c.r) ORDER BY {order} LIMIT 1) k ON true),
 m AS (SELECT g, r FROM walk WHERE r IS NOT NULL)"""
 
 
+@query(f"WITH RECURSIVE {_greedy('c.quality DESC, c.r')} SELECT 'dev' AS set_id, g, r FROM m")
 def greedy_pairing(spark, sf_dir):
     return matching.greedy_pairs(_candidates(spark, sf_dir)[2])
 
 
-query()(greedy_pairing)
-
-
 @query(f"WITH {_PAIRS}, x AS (SELECT count(DISTINCT g) AS g_found, count(DISTINCT r) AS r_found FROM c) SELECT 'dev' AS set_id, (SELECT count(*) FROM benchmark) AS golden, (SELECT count(*) FROM documents) AS extracted, g_found, r_found FROM x")
 def extraction_candidates(spark, sf_dir):
     golden, rows, c = _candidates(spark, sf_dir)
@@ -276,13 +276,12 @@ def extraction_candidates(spark, sf_dir):
     return n(golden, "golden").join(n(rows, "extracted"), "set_id").join(c.groupBy("set_id").agg(F.countDistinct("g").alias("g_found"), F.countDistinct("r").alias("r_found")), "set_id")
 
 
+@query(f"""WITH RECURSIVE {_greedy('c.r')}, n AS (SELECT (SELECT count(*) FROM benchmark) AS golden, (SELECT count(*) FROM documents) AS extracted, (SELECT count(*) FROM m) AS matched)
+SELECT 'dev' AS set_id, *, CAST(matched AS DOUBLE) / golden AS recall, CAST(matched AS DOUBLE) / extracted AS precision FROM n""")
 def extraction_score(spark, sf_dir):
     golden, rows, c = _candidates(spark, sf_dir)
     return matching.extraction_score(golden, rows, matching.greedy_pairs(c, best_fit=False))
 
-
-query()(extraction_score)
-
 _CLASSES = ["CONTRADICTED", "SUPPORTED", "UNVERIFIABLE"]
 
 
