@@ -53,3 +53,25 @@ def report(claims: DataFrame, scores: DataFrame, sources: DataFrame, key: str =
     s = sources.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("order"), "doc_id", "total", "tier"))).alias("sources"))
     f = scores.select(key, F.struct("accuracy", "coverage", T.fraction("credibility").alias("credibility"), T.fraction("validity").alias("validity")).alias("scores"))
     return c.join(f, key, "left").join(s, key, "left")
+
+
+def search_lines(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, rank, line): hits (query_id, chunk_id, score, rank, channels) as lines with page, kind and the first 160 characters."""
+    page = F.coalesce(F.concat(F.lit(" p."), F.col("page").cast("string")), F.lit(""))
+    channels = F.replace("channels", F.lit(" "), F.lit(""))
+    line = F.concat(F.format_string("[%.4f ", "score"), channels, page, F.lit(" "), "kind", F.lit("] "), F.substring("text", 1, 160))
+    return hits.join(chunks.select("chunk_id", "page", "kind", "text"), "chunk_id").select("query_id", "rank", line.alias("line"))
+
+
+def extraction_line(scores: DataFrame) -> DataFrame:
+    """(set_id, line) of matching.extraction_score."""
+    line = F.format_string("extraction recall %.2f (%d/%d golden found), precision %.2f (%d/%d extracted matched)", "recall", "matched", "golden", "precision", "matched", "extracted")
+    return scores.select("set_id", line.alias("line"))
+
+
+def baseline_lines(scores: DataFrame, recorded: DataFrame, metrics: list[str], key: str = "set_id") -> DataFrame:
+    """(key, metric, value, recorded, line): each metric beside its recorded value; sets without a record have no line."""
+    long = lambda df, name: df.select(key, F.stack(F.lit(len(metrics)), *[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))]).alias("metric", name))
+    both = long(scores, "value").join(long(recorded, "recorded"), [key, "metric"], "left")
+    line = F.format_string("baseline: %s %.2f (delta: %+.2f)", "metric", "recorded", F.col("value") - F.col("recorded"))
+    return both.withColumn("line", F.when(F.col("recorded").isNotNull(), line))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -74,3 +75,52 @@ def schema_fields(ddl: str) -> str:
 def unanswered(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """The requests to send again."""
     return requests.join(responses.where("json is not null"), "custom_id", "left_anti")
+
+
+class Batches(Protocol):
+    """A service that answers requests in batches, as a table."""
+
+    def submit(self, requests: DataFrame) -> str:
+        """The id of a new batch."""
+
+    def status(self, batch_id: str) -> tuple[str, int] | None:
+        """Its state (ended or another) and the number of its requests; None if it is unknown or its answers have expired."""
+
+    def results(self, batch_id: str) -> DataFrame:
+        """(custom_id, json): json is null where a request failed."""
+
+
+class StaleBatch(ValueError):
+    """A remembered batch belongs to other requests."""
+
+
+def judge_batch(
+    requests: DataFrame, service: Batches, schema: str, retry: Callable[[DataFrame], DataFrame], batch_id: str | None = None,
+    remember: Callable[[str], None] | None = None, poll: float = 10, deadline: float = 3600,
+) -> DataFrame:
+    """requests (custom_id, ...) with answer, by a batch of the service: all of them or an error.
+
+    A remembered batch_id is taken up again if the service still has it and it has as many
+    requests; else a new batch is submitted, and remember() told its id at once.  After
+    deadline seconds a TimeoutError is raised; the batch goes on and can be taken up.  Answers to other requests
+    raise StaleBatch.  Requests without a whole answer go to retry() once, as (custom_id, ...) to (custom_id, json).
+    """
+    held = service.status(batch_id) if batch_id else None
+    if held is None or held[1] != requests.count():
+        batch_id = service.submit(requests)
+        if remember is not None:
+            remember(batch_id)
+    end = time.monotonic() + deadline
+    while (state := service.status(batch_id)) is None or state[0] != "ended":
+        if time.monotonic() >= end:
+            raise TimeoutError(f"batch {batch_id} has not ended after {deadline} s; it can be taken up again")
+        time.sleep(poll)
+    found = service.results(batch_id)
+    if found.join(requests, "custom_id", "left_anti").limit(1).count():
+        raise StaleBatch(f"batch {batch_id} answers other requests")
+    whole = found.where(F.from_json("json", schema, {"mode": "PERMISSIVE"}).isNotNull() & (F.coalesce(F.json_array_length(F.concat(F.lit("["), "json", F.lit("]"))), F.lit(0)) == 1))
+    left = unanswered(requests, whole)
+    answers = whole.select("custom_id", "json")
+    if left.limit(1).count():
+        answers = answers.unionByName(retry(left).select("custom_id", "json"))
+    return judge_replay(requests, answers, schema)
