@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -133,18 +134,15 @@ def _count(low: int, high: int):
     return run
 
 
-def _found(words, place: dict[str, int], low: int, high: int, known: dict[str, tuple[int, ...]]) -> Counter:
-    """Features of the distinct words, and how many of these words hold each."""
-    out: Counter = Counter()
-    for w in words:
-        ids = known.get(w)
-        if ids is None:
-            if len(known) > _REMEMBERED:
-                known.clear()
-            ids = known[w] = tuple(place[g] for g in word_ngrams(w, low, high) if g in place)
-        if ids:
-            out.update(ids)
-    return out
+def _found(words: set[str], place: dict[str, int], low: int, high: int, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the distinct words, ascending, and how many of these words hold each."""
+    if len(known) > _REMEMBERED:
+        known.clear()
+    for w in words.difference(known):
+        known[w] = tuple(map(place.__getitem__, place.keys() & word_ngrams(w, low, high)))
+    held = np.bincount(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int64))
+    ids = np.flatnonzero(held)
+    return ids, held[ids]
 
 
 def _features(names: list[str], low: int, high: int):
@@ -152,8 +150,9 @@ def _features(names: list[str], low: int, high: int):
         place = {g: i for i, g in enumerate(names)}
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            found = [_found(w.split(), place, low, high, known) for w in batch["words"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": batch["y"], "ids": pa.array([np.fromiter(c, np.int32, len(c)).tobytes() for c in found], pa.binary()), "words": pa.array([np.minimum(np.fromiter(c.values(), np.int64, len(c)), 65_535).astype(np.uint16).tobytes() for c in found], pa.binary())})
+            found = [_found(set(w.split()), place, low, high, known) for w in batch["words"].to_pylist()]
+            packed = {"ids": [i.astype(np.int32).tobytes() for i, _ in found], "words": [np.minimum(n, 65_535).astype(np.uint16).tobytes() for _, n in found]}
+            yield pa.RecordBatch.from_pydict({"y": batch["y"]} | {k: pa.array(v, pa.binary()) for k, v in packed.items()})
 
     return run
 
@@ -167,10 +166,8 @@ def _score(model: Model, name: str):
         for batch in batches:
             z = np.full(batch.num_rows, model.bias)
             for i, t in enumerate(batch["_scored"]):
-                own = _found(word_set(t.as_py()), place, model.low, model.high, known)
-                if own:
-                    ids = sorted(own)
-                    z[i] += (weights[ids] * np.log2(1 + np.array([own[k] for k in ids], np.float64))).sum()
+                ids, n = _found(word_set(t.as_py()), place, model.low, model.high, known)
+                z[i] += (weights[ids] * np.log2(1 + n)).sum()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*batch.schema.names[:-1], name])
 
     return run
