@@ -93,6 +93,39 @@ def test_jaccard_all_dense_group(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=repr) == brute_components(rows, 4, 85, 100)
 
 
+def rows_of_steps(monkeypatch):
+    """Rows of each step that ngram_join writes, by label."""
+    rows = {}
+
+    def counted(df, label, f=common.materialise):
+        out = f(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    return rows
+
+
+def test_jaccard_chance_meetings_end_early(spark, monkeypatch):
+    # renamed copies share few shingles: such pairs grow with the square of the copies
+    rng, rows = random.Random(6), rows_of_steps(monkeypatch)
+    base = [[f"{i}x{j}" for j in range(200)] for i in range(20)]
+    texts = [(i, " ".join(w + rng.choice("$*&#%") for w in rng.choice(base))) for i in range(400)] + [(400, " ".join(base[0])), (401, " ".join([*base[0][:198], "a", "b"]))]
+    got = ngram_join.jaccard_components(docs_of(spark, texts), 4, 85, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: min(i, 400) for i, _ in texts} and rows["lists"] < 10
+
+
+def test_jaccard_dense_groups_fall_apart(spark, monkeypatch):
+    # texts of stock phrases share columns without being alike: their sets don't travel
+    rng, rows = random.Random(7), rows_of_steps(monkeypatch)
+    phrases = [" ".join(f"{i}p{j}" for j in range(40)) for i in range(30)]
+    texts = [(i, " ".join(rng.sample(phrases, 4))) for i in range(120)]
+    texts += [(i + 120, f"{t} end") for i, t in texts[:10]]
+    got = ngram_join.jaccard_components(docs_of(spark, texts), 4, 85, 100, dense_rows=4, block_rows=20).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=repr) == brute_components(texts, 4, 85, 100)
+    assert rows["dense-links"] and rows["sets"] < 60
+
+
 def test_jaccard_empty_and_keep_one(spark):
     assert ngram_join.jaccard_components(docs_of(spark, []).limit(0)).count() == 0
     t = "a b c d e f g h i j"
