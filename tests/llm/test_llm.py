@@ -454,6 +454,23 @@ def test_lines_at_edit_similarity_meet(spark, tmp_path):
         assert len(together) > 20 and np.mean(together) >= wanted
 
 
+def test_lines_under_crowded_sets_all_meet(spark, tmp_path):
+    """Pairs that share only keys of many lines, and are like no other line."""
+    rng = random.Random(3)
+    begin, lines = [f"c{i}" for i in range(28)], []
+    for g in range(30):
+        tail = [f"t{g}x{i}" for i in range(12)]
+        changed = [f"v{g}x{i}" if i in (2, 5, 8, 11) else w for i, w in enumerate(tail)]
+        lines += [" ".join(begin + tail), " ".join(begin + changed)]
+    rng.shuffle(lines)
+    d, found = places_of(spark, docs_of(spark, list(enumerate(lines))), str(tmp_path / "d"))
+    root = {r["first_id"]: r["root_id"] for r in line_dedup.groups(d, found).collect()}
+    of = defaultdict(list)
+    for i, line in enumerate(lines):
+        of[line.split()[28].split("x")[0]].append(root[i])
+    assert np.mean([a == b for a, b in of.values()]) >= 0.9 and len({a for a, _ in of.values()}) == 30
+
+
 def line_dedup_edit(a, at):
     return a[:at] + "z" + a[at + 1 :]
 
