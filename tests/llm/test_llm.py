@@ -471,6 +471,35 @@ def test_lines_under_crowded_sets_all_meet(spark, tmp_path):
     assert np.mean([a == b for a, b in of.values()]) >= 0.9 and len({a for a, _ in of.values()}) == 30
 
 
+def test_lines_of_a_common_passage_do_not_all_meet(spark, monkeypatch, tmp_path):
+    """Lines that are half a passage which all share: similar ones are found, without a pair for every two lines."""
+    rng = random.Random(5)
+    passage, lines = [f"c{i}word" for i in range(30)], []
+    for g in range(70):
+        own = [f"t{g}word{i}" for i in range(30)]
+        changed = [f"v{g}word{i}" if i in (4, 11, 18, 25) else w for i, w in enumerate(own)]
+        lines += [" ".join(own + passage)] + [" ".join(changed + passage)] * (g < 20)
+    rng.shuffle(lines)
+    d, found = places_of(spark, docs_of(spark, list(enumerate(lines))), str(tmp_path / "d"))
+    made, write = Counter(), line_dedup.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] += out.count()
+        if label == "dense-rarest":
+            made["meet"] += sum(r["count"] * (r["count"] - 1) // 2 for r in out.groupBy("key").count().collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    root = {r["first_id"]: r["root_id"] for r in line_dedup.groups(d, found).collect()}
+    of = defaultdict(set)
+    for i, line in enumerate(lines):
+        of[line.split()[0].replace("v", "t")].add(root[i])
+    assert len(of) == 70 and len(set().union(*of.values())) == 70 and all(len(x) == 1 for x in of.values())
+    # all pairs of 90 lines are 4005
+    assert made["dense-lines"] > 0 and made["near-pairs"] + made["lines-apart"] < 2000 and made["meet"] < 2000
+
+
 def line_dedup_edit(a, at):
     return a[:at] + "z" + a[at + 1 :]
 
