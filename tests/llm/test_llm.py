@@ -471,6 +471,52 @@ def test_lines_under_crowded_sets_all_meet(spark, tmp_path):
     assert np.mean([a == b for a, b in of.values()]) >= 0.9 and len({a for a, _ in of.values()}) == 30
 
 
+def test_lines_that_share_few_crowded_keys_meet(spark, tmp_path):
+    """Pairs that share two of eight keys or one of four, which all lines have."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(10))
+    phrase, lines, pairs = [f"phrase{i}word" for i in range(5)], [], []
+    for i in range(30):
+        few = i % 2
+        w = phrase[: 5 - few] + [word() for _ in range(3 if few else 6)]
+        lines += [" ".join(w), " ".join(f"z{x[1:]}" if k in ((4,) if few else (5, 8)) else x for k, x in enumerate(w))]
+        pairs.append((2 * i, 2 * i + 1))
+    d, found = places_of(spark, docs_of(spark, list(enumerate(lines))), str(tmp_path / "d"))
+    keys = {r["id"]: set(r["keys"]) for r in found.collect()}
+    of = Counter(k for x in keys.values() for k in x)
+    assert all(len(keys[a] & keys[b]) == 2 - i % 2 and all(of[k] >= 30 for k in keys[a] & keys[b]) for i, (a, b) in enumerate(pairs))
+    root = {r["first_id"]: r["root_id"] for r in line_dedup.groups(d, found).collect()}
+    assert all(root[a] == root[b] == a for a, b in pairs)
+
+
+def test_lines_of_a_long_common_passage_meet_by_words(spark, monkeypatch, tmp_path):
+    """Under pairs of words that many lines share, lines meet by their rarest words: similar ones are found, not all held together."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 16)
+    rng = random.Random(5)
+    passage, lines = [f"c{i}word" for i in range(36)], []
+    for g in range(60):
+        own = [f"t{g}word{i}" for i in range(18)]
+        lines += [" ".join(own + passage)] + [" ".join([f"v{g}word{i}" if i in (2, 6, 10, 14) else w for i, w in enumerate(own)] + passage)] * (g < 20)
+    rng.shuffle(lines)
+    d, found = places_of(spark, docs_of(spark, list(enumerate(lines))), str(tmp_path / "d"))
+    made, write = Counter(), line_dedup.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] += out.count()
+        if label == "dense-words":
+            made["meet"] += sum(r["count"] * (r["count"] - 1) // 2 for r in out.groupBy("key").count().collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    root = {r["first_id"]: r["root_id"] for r in line_dedup.groups(d, found).collect()}
+    of = defaultdict(set)
+    for i, line in enumerate(lines):
+        of[line.split()[0].split("w")[0]].add(root[i])
+    assert len(of) == 60 and len(set().union(*of.values())) == 60 and all(len(x) == 1 for x in of.values())
+    assert made["dense-words"] > 0 and made["meet"] < 1000
+
+
 def test_lines_of_a_common_passage_do_not_all_meet(spark, monkeypatch, tmp_path):
     """Lines that are half a passage which all share: similar ones are found, without a pair for every two lines."""
     rng = random.Random(5)
