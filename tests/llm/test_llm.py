@@ -546,6 +546,33 @@ def test_lines_of_a_common_passage_do_not_all_meet(spark, monkeypatch, tmp_path)
     assert made["dense-lines"] > 0 and made["near-pairs"] + made["lines-apart"] < 2000 and made["meet"] < 2000
 
 
+def test_short_lines_that_repeat_characters_do_not_all_meet(spark, monkeypatch, tmp_path):
+    """A repeated run of characters takes one place among the keys: such lines have all keys, and need more than one that they share."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    often, lines = [word(5) for _ in range(4)], []
+    for i in range(80):
+        line = f" {often[i % 4]} ".join(word(7) for _ in range(4))
+        lines += [line, line_dedup_edit(line, rng.randrange(len(line)))]
+    lines += [w[:8] for w in (word(9) for _ in range(40))]
+    d, found = places_of(spark, docs_of(spark, list(enumerate(lines))), str(tmp_path / "d"))
+    keys = {r["id"]: r["keys"] for r in found.collect()}
+    assert all(len(set(keys[i])) == line_dedup.KEYS for i in range(160))
+    # lines too short for a longer partner of the other kind have deletions only
+    assert all(k % 2 for i in range(160, 200) for k in keys[i])
+    made, write = Counter(), line_dedup.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] += out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    root = {r["first_id"]: r["root_id"] for r in line_dedup.groups(d, found).collect()}
+    assert made["single-keys"] == 0
+    assert np.mean([root[i] == root[i + 1] == i for i in range(0, 160, 2)]) >= 0.97 and len({root[i] for i in range(160)}) <= 82
+
+
 def line_dedup_edit(a, at):
     return a[:at] + "z" + a[at + 1 :]
 
